@@ -16,6 +16,11 @@ second round's centre is that text, and the bucket is done. Buckets of members t
 not link each other get twice as many centres each round, so rounds grow with the logarithm of a
 bucket's size.
 
+Before that, items that a single set holds prune: two sets share no more than either has besides its
+own such items, which bounds their similarity. A member that can reach no other of its bucket even so
+leaves it, and a star has no ray that can't be a link. So copies with too many changes of their own aren't
+tested against the rest of a large group.
+
 Defined results: a null or wordless text has an empty set and is linked with nothing; rows that
 repeat are all returned; rows that share an id count as one document; a row without id is linked with
 nothing and kept; an empty table gives no rows; other columns are ignored."""
@@ -119,8 +124,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(sized).select("a", "b", common_items.alias("i"), (F.size("s") + F.size("t")).alias("n")).where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b").distinct()
 
 
+def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members with n (items) and most (items that some other set holds too), without those whose
+    bucket holds no set that they could be linked with: a link needs (100 + percent) * most >=
+    percent * (n + the other's n)."""
+    alone = sets.select("rep", F.explode("items").alias("item")).groupBy("item").agg(F.min("rep").alias("rep"), F.count("*").alias("c")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    sized = sets.groupBy("rep").agg(F.min(F.size("items")).alias("n"), F.max(F.size("items")).alias("top"), F.count("*").alias("rows")).join(alone, "rep", "left")
+    # one id may stand for several texts: then nothing is subtracted
+    sized = common.stored(sized.select("rep", "n", F.expr("CASE WHEN rows = 1 THEN n - coalesce(own, 0) ELSE top END").alias("most")), "sizes")
+    rows = members.join(sized, "rep")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    return common.stored(rows.join(least, "key").where(f"{100 + percent} * most >= {percent} * (n + least)").select("key", "rep", "n", "most"), "members")
+
+
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, comp) of all members (key, rep) of shared buckets."""
+    """(rep, comp) of all members (key, rep, n, most) of shared buckets."""
     labels = common.stored(members.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
     links = used = None
     step = 0
@@ -133,13 +151,14 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             state = state.withColumn("deg", F.lit(0))
         dice = F.xxhash64("rep", "key", F.lit(step))
         rank = F.least(F.coalesce("deg", F.lit(0)), F.lit(1 << 30)) * F.lit(1 << 32) + F.pmod(dice, F.lit(1 << 32))
-        state = state.select("key", "rep", "comp", rank.alias("rank"), F.pmod(F.xxhash64("rep", "key", F.lit(-1 - step)), F.lit(1 << 30)).alias("die"))
-        open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("top"), F.count("*").alias("n")).where("lo < hi").select("key", "top", "n")
+        state = state.select("key", "rep", "comp", "n", "most", rank.alias("rank"), F.pmod(F.xxhash64("rep", "key", F.lit(-1 - step)), F.lit(1 << 30)).alias("die"))
+        open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("top"), F.count("*").alias("size")).where("lo < hi").select("key", "top", "size")
         state = common.stored(state.join(open_, "key"), "buckets")
         more = 1 << min(max(0, step - 1), 30)
-        chosen = (F.col("rank") == F.col("top")) | (F.lit(step > 0) & (F.col("die") * F.col("n") < F.lit((more - 1) * (1 << 30))))
-        centres = state.where(chosen).select("key", F.col("rep").alias("c"), F.col("comp").alias("c_comp"))
-        stars = state.join(centres, "key").where("comp <> c_comp").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+        chosen = (F.col("rank") == F.col("top")) | (F.lit(step > 0) & (F.col("die") * F.col("size") < F.lit((more - 1) * (1 << 30))))
+        centres = state.where(chosen).select("key", F.col("rep").alias("c"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
+        can = f"comp <> c_comp AND {100 + percent} * least(most, c_most) >= {percent} * (n + c_n)"
+        stars = state.join(centres, "key").where(can).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
         if state.isEmpty():
             return labels
         new = common.stored(_confirmed(stars, sets, percent), "links")
@@ -165,7 +184,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     members = common.stored(keyed.join(shared, "key").select("key", "rep").distinct(), "members")
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.stored(common.rows_with(texts.where("doc_id IS NOT NULL"), reps, "doc_id").mapInArrow(_listed(shingle), "rep long, items array<long>"), "sets")
-    labels = _linked(members, sets, percent)
+    labels = _linked(_reachable(members, sets, percent), sets, percent)
     found = classes.select("hi", "lo", "n_shingles", "rep", "copies").join(labels, "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("comp", "rep") != F.col("rep")).alias("moved"), "copies")
     found = found.where("copies > 1 OR moved").select("hi", "lo", "n_shingles", "comp")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(found, ["hi", "lo", "n_shingles"], "left")
