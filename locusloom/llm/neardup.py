@@ -8,15 +8,16 @@ bin borrows from the first non-empty one in its own random order of bins. Classe
 whole band share a bucket. With 4 rows and 28 bands a pair of similarity 0.8 misses all buckets with
 probability 4e-7.
 
-A bucket emits stars, never all pairs: each round takes a centre and tests it against members of
-other components. A pair of members stays untested only while neither has been a centre, and a bucket
-is left only when its untested members are all in one component, so no link between components is
-lost. Centres with the most links so far go first: where thousands are near copies of one text, the
-second round's centre is that text, and the bucket is done. Buckets of members that resemble but do
-not link each other get twice as many centres each round, so rounds grow with the logarithm of a
-bucket's size.
-
-Before that, items that a single set holds prune: two sets share no more than either has besides its
+A bucket emits stars, never all pairs. In the first round a random member is the centre and is tested
+against the others; in the second the member with most links so far, which is the original where
+thousands are near copies of one text. Members that have not been a centre and are still in several
+components go to an exact difference join: with D(u) the items in which u and the last centre
+differ, u and v differ in |D(u)| + |D(v)| - 2 |D(u) & D(v)| items. Two members that aren't both linked
+with the centre can thus be linked only if their differences share a stated number of items, so
+each needs to be looked up only under its rarest differences (prefix filter). No link between
+components is lost, and the work follows the differences, not the pairs.
+
+Before the stars, items that a single set holds prune: two sets share no more than either has besides its
 own such items, which bounds their similarity. A member that can reach no other of its bucket even so
 leaves it, and a star has no ray that can't be a link. So copies with too many changes of their own aren't
 tested against the rest of a large group.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, texthash
@@ -140,33 +141,46 @@ def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rep, comp) of all members (key, rep, n, most) of shared buckets."""
     labels = common.stored(members.select("rep", F.col("rep").alias("comp")).distinct(), "labels")
-    links = used = None
-    step = 0
-    while True:
-        state = members.join(labels, "rep")
-        if links is not None:
-            ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("deg"))
-            state = state.join(ends, "rep", "left").join(used, ["key", "rep"], "left_anti")
-        else:
-            state = state.withColumn("deg", F.lit(0))
-        dice = F.xxhash64("rep", "key", F.lit(step))
-        rank = F.least(F.coalesce("deg", F.lit(0)), F.lit(1 << 30)) * F.lit(1 << 32) + F.pmod(dice, F.lit(1 << 32))
-        state = state.select("key", "rep", "comp", "n", "most", rank.alias("rank"), F.pmod(F.xxhash64("rep", "key", F.lit(-1 - step)), F.lit(1 << 30)).alias("die"))
-        open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("top"), F.count("*").alias("size")).where("lo < hi").select("key", "top", "size")
-        state = common.stored(state.join(open_, "key"), "buckets")
-        more = 1 << min(max(0, step - 1), 30)
-        chosen = (F.col("rank") == F.col("top")) | (F.lit(step > 0) & (F.col("die") * F.col("size") < F.lit((more - 1) * (1 << 30))))
-        centres = state.where(chosen).select("key", F.col("rep").alias("c"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
+    left, rank = members, F.lit(0)
+    for step in range(2):
+        state = _open(left, labels, rank, step)
+        centres = state.where("rank = top").select("key", F.col("rep").alias("c"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
         can = f"comp <> c_comp AND {100 + percent} * least(most, c_most) >= {percent} * (n + c_n)"
         stars = state.join(centres, "key").where(can).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        if state.isEmpty():
-            return labels
-        new = common.stored(_confirmed(stars, sets, percent), "links")
-        labels = _joined_components(labels, new)
-        spent = centres.select("key", F.col("c").alias("rep"))
-        links = new if links is None else links.unionAll(new)
-        used = spent if used is None else used.unionAll(spent)
-        step += 1
+        links = common.stored(_confirmed(stars, sets, percent), "links")
+        labels = _joined_components(labels, links)
+        ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("deg"))
+        centres = centres.select("key", "c")
+        left = state.join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "most").join(ends, "rep", "left")
+        rank = F.least(F.coalesce("deg", F.lit(0)), F.lit(1 << 30))
+    last = _open(left, labels, rank, 2).join(centres, "key").select("c", "rep", "comp").distinct()
+    return _joined_components(labels, common.stored(_confirmed(_differing(last, sets, percent), sets, percent), "links"))
+
+
+def _open(members: DataFrame, labels: DataFrame, rank: F.Column, step: int) -> DataFrame:
+    """The members of buckets that hold several components, with the rank of each and the top one."""
+    dice = F.pmod(F.xxhash64("rep", "key", F.lit(step)), F.lit(1 << 32))
+    state = members.join(labels, "rep").select("key", "rep", "comp", "n", "most", (rank * F.lit(1 << 32) + dice).alias("rank"))
+    several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("top")).where("lo < hi").select("key", "top")
+    return common.stored(state.join(several, "key"), "buckets")
+
+
+def _differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (c, rep, comp) under one centre c whose rarest differences from c meet; all
+    that can be linked, but for those in one component."""
+    up, down = 100 + percent, 100 - percent
+    near = members.join(sets.select("rep", F.col("items").alias("t")), "rep").join(sets.select(F.col("rep").alias("c"), F.col("items").alias("s")), "c")
+    rows = near.select("c", "rep", "comp", F.size("t").alias("n"), F.concat(F.array_except("t", "s"), F.array_except("s", "t")).alias("diff"))
+    items = rows.select("c", "rep", "comp", "n", F.size("diff").alias("d"), F.explode("diff").alias("item"))
+    again = items.groupBy("c", "item").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("c", "rep", "n", "d")
+    # differences that no other member has come first; they needn't be looked up, but count as places
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "item"))
+    placed = common.stored(items.join(again, ["c", "item"]).withColumn("place", place).drop("df"), "differences")
+    x, y = placed.alias("x"), placed.alias("y")
+    share = f"(({up} * (x.d + y.d) - {down} * (x.n + y.n) + {2 * up - 1}) div {2 * up})"
+    meet = f"x.c = y.c AND x.item = y.item AND x.rep < y.rep AND x.comp <> y.comp AND {share} >= 1 AND x.place <= x.d - {share} + 1 AND y.place <= y.d - {share} + 1"
+    return x.join(y, F.expr(meet)).selectExpr("x.rep AS a", "y.rep AS b").distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
