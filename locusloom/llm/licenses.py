@@ -10,8 +10,8 @@ texts, each place of one of these words gives a window in which the template cou
 aligned on their own, so a notice that stands twice, or far into a very long text, is found at both
 places.
 
-Defined results: null and empty texts hold no notice; of overlapping findings of one template the best stays
-(the first of equals); rows that repeat are all scanned; other columns are ignored."""
+Defined results: null and empty texts hold no notice; of overlapping findings the one of the highest
+coverage stays (then the longest, the first); rows that repeat are all scanned; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -104,22 +104,19 @@ class Scanner:
         near = [k for k, keys in self.keys.items() if any(w in lowered for w in keys)]
         if not near:
             return []
-        words, out = words_of(text), []
+        words, hits = words_of(text), []
         for k in near:
             t, keys = self.templates[k], self.keys[k]
             slack, places = max(2, len(t) // 4), {w: [i for i, x in enumerate(t) if x == w] for w in keys}
-            starts = sorted({max(0, i - j - slack) for i, w in enumerate(words) if w in keys for j in places[w]})
-            hits = []
-            for s in starts:
+            for s in sorted({max(0, i - j - slack) for i, w in enumerate(words) if w in keys for j in places[w]}):
                 pairs = aligned(words[s : s + len(t) + 2 * slack], t)
                 if pairs and len(pairs) >= self.least * len(t) - 1e-9:
-                    hits.append((-len(pairs), s + pairs[0][0], s + pairs[-1][0] + 1))
-            taken: list[tuple[int, int]] = []
-            for n, a, b in sorted(hits):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append((k, -n / len(t), a, b, -n))
-        return sorted(out, key=lambda x: (x[2], x[0]))
+                    hits.append((-len(pairs) / len(t), -len(pairs), s + pairs[0][0], s + pairs[-1][0] + 1, k))
+        out = []
+        for cover, n, a, b, k in sorted(hits):
+            if all(b <= x[2] or a >= x[3] for x in out):
+                out.append((k, -cover, a, b, -n))
+        return sorted(out, key=lambda x: x[2])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
