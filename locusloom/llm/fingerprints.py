@@ -14,6 +14,8 @@ forms only have one fingerprint; rows that repeat have equal fingerprints; other
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +37,17 @@ def _hash(form: F.Column) -> list[F.Column]:
 HASH = ["h1", "h2", "size"]
 
 
-def _ordinals(forms: DataFrame, hashed: DataFrame) -> DataFrame | None:
+def shared_slots(hashed: DataFrame) -> DataFrame:
+    """The slots of hashes that occur more than once, SLOTS longs at most; hashed: HASH, a row for each text."""
+    return common.slots_of(hashed.groupBy(*HASH).agg(F.count("*").alias("c")).where("c > 1"), "h1")
+
+
+def _ordinals(forms: DataFrame, slots: DataFrame) -> DataFrame | None:
     """(h1, h2, size, form, ordinal) of texts that share a hash with another text, from the byte comparison;
-    None if no two do. forms: HASH and form, hashed: HASH, of all texts."""
-    shared = hashed.groupBy(*HASH).agg(F.count("*").alias("c")).where("c > 1")
-    slots = F.broadcast(common.slots_of(shared, "h1"))
-    texts = forms.withColumn("_slot", common.slot(F.col("h1"))).join(slots, "_slot", "left_semi").groupBy(*HASH, "form").agg(F.count("*").alias("c"))
-    clash = texts.groupBy(*HASH).agg(F.count("*").alias("texts")).where("texts > 1")
-    clash = common.stored(clash, "clashes")
+    None if no two do. forms: canonical forms, of all texts whose hash is in the slots at least."""
+    texts = forms.select("form", *_hash(F.col("form"))).withColumn("_slot", common.slot(F.col("h1")))
+    texts = texts.join(F.broadcast(slots), "_slot", "left_semi").groupBy(*HASH, "form").agg(F.count("*").alias("c"))
+    clash = common.stored(texts.groupBy(*HASH).agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
     if clash.isEmpty():
         return None
     order = Window.partitionBy(*HASH).orderBy(F.col("form").cast("binary"))
@@ -56,16 +61,20 @@ def _rendered(ordinal: F.Column | None = None) -> F.Column:
     return F.concat_ws("-", F.concat(parts[0], parts[1]), *parts[2:])
 
 
-def fingerprints(rows: DataFrame, text_cols: dict[str, str]) -> DataFrame:
+def fingerprints(rows: DataFrame, text_cols: dict[str, str], compared: Callable[[DataFrame, DataFrame], DataFrame] | None = None, seen_twice: tuple[str, ...] = ()) -> DataFrame:
     """rows with a fingerprint for each text column: text_cols maps it to the new column. The text
-    columns themselves are dropped; all their texts are one universe of fingerprints."""
+    columns themselves are dropped; all their texts are one universe of fingerprints. Where rows are costly
+    to make again, compared(hashed, slots) gives the canonical forms (form) that the byte comparison needs:
+    hashed has a struct of HASH for each new column, slots those of hashes that occur more than once. New
+    columns in seen_twice repeat texts of others and don't count as copies."""
     kept = [c for c in rows.columns if c not in text_cols]
     forms = rows.select(*kept, *[canonical(F.col(c)).alias(f"_form_{k}") for k, c in enumerate(text_cols)])
     names = list(text_cols.values())
     hashed = forms.select(*kept, *[F.struct(*_hash(F.col(f"_form_{k}"))).alias(n) for k, n in enumerate(names)])
     hashed = common.stored(hashed, "fingerprints")
-    one = forms.select(F.explode(F.array(*[f"_form_{k}" for k in range(len(names))])).alias("form")).select("form", *_hash(F.col("form")))
-    clashing = _ordinals(one, hashed.select(F.explode(F.array(*names)).alias("h")).select("h.*"))
+    slots = shared_slots(hashed.select(F.explode(F.array(*[n for n in names if n not in seen_twice])).alias("h")).select("h.*"))
+    one = compared(hashed, slots) if compared else forms.select(F.explode(F.array(*[f"_form_{k}" for k in range(len(names))])).alias("form"))
+    clashing = _ordinals(one, slots)
     if clashing is None:
         return hashed.select(*kept, *[_of_struct(n) for n in names])
     out = forms
@@ -87,7 +96,7 @@ def _ranges(ids: DataFrame, count: int) -> list[int]:
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and next_text: the text that follows by descending id; the first follows the last. Ids are
+    """id, text, next_id and next_text: what follows by descending id; the first follows the last. Ids are
     parted into ranges by sampled bounds, each range is sorted by itself, and takes in a copy of the
     first row of the range below; so each text is shuffled once, and no range needs all rows. Null ids
     come last; rows of equal ids are ordered by text."""
@@ -112,17 +121,29 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     below = Window.orderBy(F.col("_range").desc())
     first = first.select("_range", "_order").withColumn("_to", F.lag("_range").over(below)).withColumn("_low", F.min("_range").over(Window.partitionBy()))
     firsts = first.select(F.col("_order").alias("_o"), F.coalesce("_to", "_low").alias("_to"))
-    guests = rows.join(F.broadcast(firsts), F.col("_order") == F.col("_o")).groupBy("_to").agg(F.min("text").alias("text"))
-    every = rows.select("doc_id", "text", "_order", "_range", F.lit(0).alias("_guest")).unionByName(guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_order"), F.col("_to").alias("_range"), F.lit(1).alias("_guest")))
+    guests = rows.join(F.broadcast(firsts), F.col("_order") == F.col("_o")).groupBy("_to").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("g")).select("_to", "g.*")
+    every = rows.select("doc_id", "text", "_order", "_range", F.lit(0).alias("_guest")).unionByName(guests.select("doc_id", "text", F.lit(0).cast("long").alias("_order"), F.col("_to").alias("_range"), F.lit(1).alias("_guest")))
     order = Window.partitionBy("_range").orderBy("_guest", F.col("_order").desc(), "text")
-    return every.withColumn("next_text", F.lead("text").over(order)).where("_guest = 0").select("doc_id", "text", "next_text")
+    return every.withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)}).where("_guest = 0").select("doc_id", "text", "next_id", "next_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = with_next(common.table(spark, sf_dir, "documents"))
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), F.expr("substring(next_text, 1, length(text) div 3)"))
-    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    out = fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    docs = common.table(spark, sf_dir, "documents")
+
+    def edits(rows: DataFrame) -> DataFrame:
+        edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), F.expr("substring(next_text, 1, length(text) div 3)"))
+        return with_next(rows).withColumn("edited", edited)
+
+    def compared(hashed: DataFrame, slots: DataFrame) -> DataFrame:
+        """Whole texts as they are read; edited ones are made again only where their hash came up before, from
+        these rows and their next ones (between the two there is no other, so they stay neighbours)."""
+        again = hashed.withColumn("_slot", common.slot(F.col("edited_fingerprint.h1"))).join(F.broadcast(slots), "_slot", "left_semi")
+        ids = again.select(F.explode(F.array("doc_id", "next_id")).alias("doc_id"))
+        some = docs.withColumn("_slot", common.slot(F.col("doc_id").cast("long"))).join(F.broadcast(common.slots_of(ids, "doc_id")), "_slot", "left_semi")
+        return docs.select(canonical(F.col("text")).alias("form")).unionAll(edits(some).select(canonical(F.col("edited")).alias("form")))
+
+    rows = edits(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.select("doc_id", "next_id", "n_chars", "edited_sha256", "text", "edited", "next_text")
+    out = fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}, compared, ("next_fingerprint",))
     alike = [(F.col("fingerprint") == F.col(f"{x}_fingerprint")).cast("double").alias(f"near_{x}") for x in ("edited", "next")]
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *alike)
