@@ -88,7 +88,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[F.Column, F.Column]:
-    return F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag")
+    return F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tag")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -97,7 +97,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     common.tune(docs.sparkSession)
     doc_id, tag = _keyed(docs, id_col, text_col)
     texts = docs.where(F.col(id_col).isNotNull()).select(doc_id, tag, F.col(text_col).alias("text"))
-    rows = common.stored(texts.mapInArrow(_chunked, "doc_id long, tag long, digests array<long>, spans array<long>"), "chunks")
+    # chunks are cheap to make and large to store, so both uses make them
+    rows = texts.mapInArrow(_chunked, "doc_id long, tag int, digests array<long>, spans array<long>")
     owners = rows.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner")
     held = rows.select("doc_id", "tag", F.expr("inline(arrays_zip(digests, spans))")).toDF("doc_id", "tag", "digest", "span")
     hits = held.join(owners, "digest").where("doc_id > owner").groupBy("doc_id", "tag", "span").agg(F.min("owner").alias("owner"))
