@@ -126,4 +126,4 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> dict:
     r2 = 1 - rss / tss
     loglik = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
     t = beta / se
-    return {"coef": dict(zip(["intercept", *xs], beta.tolist(), strict=True)), "se": se.tolist(), "t": t.tolist(), "p": [incomplete_beta(df_rest / 2, 0.5, df_rest / (df_rest + v * v)) for v in t], "r2": r2, "f": (r2 / df_model) / ((1 - r2) / df_rest), "n": int(n), "aic": 2 * k - 2 * loglik, "bic": k * math.log(n) - 2 * loglik}
+    return {"coef": dict(zip(["intercept", *xs], beta.tolist(), strict=True)), "se": se.tolist(), "t": t.tolist(), "p": [float(incomplete_beta(df_rest / 2, 0.5, df_rest / (df_rest + v * v))) for v in t], "r2": r2, "f": (r2 / df_model) / ((1 - r2) / df_rest), "n": int(n), "aic": 2 * k - 2 * loglik, "bic": k * math.log(n) - 2 * loglik}
