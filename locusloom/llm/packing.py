@@ -25,37 +25,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Pieces
 
 TIERS = (1024, 512, 256)
 POOL, RESERVE, STEP_TOKENS = 8192, 65536, 65536
 #: Below it, the libraries' character classes are the same; other texts go to the tokenizer whole.
-COMMON = "԰"
+COMMON = "\u0530"
+
+
+def byte_ranks(vocabulary: dict[str, int], special: set[str]) -> dict[bytes, int]:
+    """A byte-level vocabulary by bytes. Printable Latin-1 characters stand for themselves, the other bytes,
+    in order, for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(map(byte_of.__getitem__, t)): k for t, k in vocabulary.items() if t not in special}
 
 
 def tokens(path: str) -> Callable[[str], bytes]:
-    """The ids of a whole text (32 bits, little-endian), as the tokenizers library gives them."""
+    """The ids of a whole text (32 bits, little-endian), as the tokenizers library gives them. Ordinary texts
+    are encoded by tiktoken with the file's own vocabulary, where ids rise in the order of the merges; it
+    gives the same ids three times as fast. The tokenizer itself takes texts that hold a special token or
+    characters whose class depends on the Unicode version."""
+    import json
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(path)
-    special = [t.content for t in one.get_added_tokens_decoder().values()]
+    special = {t.content for t in one.get_added_tokens_decoder().values()}
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    order = [one.token_to_id("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in merges]
+    quick = None
+    if order == sorted(order):
+        quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(one.get_vocab(with_added_tokens=False), special), special_tokens={})
+    del merges, order
 
-    def plain(text: str) -> bytes:
+    def ids(text: str) -> bytes:
+        if quick is not None and not any(s in text for s in special) and (text.isascii() or max(text) < COMMON):
+            return quick.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(one.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    pieces = Pieces(plain)
+    return ids
 
-    def ids(text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in special) or not text.isascii() and max(text) >= COMMON:
-            return plain(text)
-        return pieces.ids(text)
 
-    return ids
+#: Kept in the worker for its next tasks.
+_WORKER: dict[str, Callable[[str], bytes]] = {}
 
 
 class Packer:
@@ -131,7 +148,8 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer = tokens(path), Packer()
+        encode, packer = _WORKER.setdefault(path, None) or tokens(path), Packer()
+        _WORKER[path] = encode
         end = np.array([end_id], "<u4").tobytes()
         held: dict[int, list] = {}  # document: id, ids, ids not yet placed
         rows: list[tuple] = []
