@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHE = 600_000
+CACHE = 1 << 18
 LEAF = 32
 #: A space before another space or at the end may not part pieces.
 _LOOSE = re.compile(r" (?:\s|\Z)")
