@@ -127,19 +127,18 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counted anew for these. Texts without such runs aren't shuffled (but for those that share a slot)."""
     spark = docs.sparkSession
     found = common.stored(repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words), "repeats")
-    cuts = found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.array("start_byte", "end_byte"))).alias("_cuts"))
+    own, mark, spans = (common.fresh(docs, n) for n in ("_id", "_tag", "_cuts"))
+    cuts = found.groupBy(F.col("doc_id").alias(own), F.col("tag").alias(mark)).agg(F.sort_array(F.collect_list(F.array("start_byte", "end_byte"))).alias(spans))
     doc_id, tag = _keyed(docs, id_col, text_col)
-    marked = docs.withColumn("_id", doc_id).withColumn("_tag", tag).withColumn("_slot", common.slot(F.col("_id")))
-    taken = F.broadcast(common.slots_of(found, "doc_id"))
-    free = marked.join(taken, "_slot", "left_anti").select(*docs.columns)
-    near = marked.join(taken, "_slot", "left_semi").join(cuts.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), ["_id", "_tag"], "left")
+    near, free = common.near_slots(docs, found, "doc_id", F.col(id_col).cast("long"))
+    near = near.withColumn(own, doc_id).withColumn(mark, tag).join(cuts, [own, mark], "left")
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(_cut(texts, spans))
+    def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series(_cut(texts, parts))
 
-    same = near.where("_cuts IS NULL").select(*docs.columns)
-    other = near.where("_cuts IS NOT NULL").withColumn(text_col, cut(F.col(text_col), F.col("_cuts")))
+    same = near.where(F.col(spans).isNull()).select(*docs.columns)
+    other = near.where(F.col(spans).isNotNull()).withColumn(text_col, cut(F.col(text_col), F.col(spans)))
     if chars_col in docs.columns:
         other = other.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return free.unionByName(same).unionByName(other.select(*docs.columns))

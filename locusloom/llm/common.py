@@ -54,17 +54,30 @@ def slots_of(keys: DataFrame, name: str) -> DataFrame:
     return keys.select(slot(F.col(name)).alias("_slot")).distinct()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def near_slots(rows: DataFrame, keys: DataFrame, name: str, of: F.Column) -> tuple[DataFrame, DataFrame]:
+    """rows whose slot some key takes, and the others; keys are broadcast as slots only."""
+    own = fresh(rows, "_slot")
+    marked = rows.withColumn(own, slot(of))
+    taken = F.broadcast(slots_of(keys, name).withColumnRenamed("_slot", own))
+    return marked.join(taken, own, "left_semi").drop(own), marked.join(taken, own, "left_anti").drop(own)
+
+
 def rows_with(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose `name` is among keys.`name` (distinct). Broadcast slots drop most other rows
-    before the exact join, so that few texts are shuffled."""
-    near = rows.withColumn("_slot", slot(F.col(name))).join(F.broadcast(slots_of(keys, name)), "_slot", "left_semi").drop("_slot")
-    return near.join(keys.select(name).distinct(), name, "left_semi")
+    """The rows whose `name` is among keys.`name`. Broadcast slots drop most other rows before the exact
+    join, so that few texts are shuffled."""
+    near, _ = near_slots(rows, keys, name, F.col(name))
+    return near.join(keys.select(name).distinct(), name, "left_semi").select(*rows.columns)
 
 
 def rows_without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """The rows whose `name` is not among keys.`name`; only rows of a slot that some key takes are shuffled."""
-    marked = rows.withColumn("_slot", slot(F.col(name)))
-    taken = F.broadcast(slots_of(keys, name))
-    free = marked.join(taken, "_slot", "left_anti").drop("_slot")
-    near = marked.join(taken, "_slot", "left_semi").drop("_slot")
-    return free.unionByName(near.join(keys.select(name).distinct(), name, "left_anti"))
+    near, free = near_slots(rows, keys, name, F.col(name))
+    return free.unionByName(near.join(keys.select(name).distinct(), name, "left_anti").select(*rows.columns))

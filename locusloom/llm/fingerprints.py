@@ -67,7 +67,7 @@ def fingerprints(rows: DataFrame, text_cols: dict[str, str], compared: Callable[
     to make again, compared(hashed, slots) gives the canonical forms (form) that the byte comparison needs:
     hashed has a struct of HASH for each new column, slots those of hashes that occur more than once. New
     columns in seen_twice repeat texts of others and don't count as copies."""
-    kept = [c for c in rows.columns if c not in text_cols]
+    kept = [c for c in rows.columns if c not in text_cols and c not in text_cols.values()]
     forms = rows.select(*kept, *[canonical(F.col(c)).alias(f"_form_{k}") for k, c in enumerate(text_cols)])
     names = list(text_cols.values())
     hashed = forms.select(*kept, *[F.struct(*_hash(F.col(f"_form_{k}"))).alias(n) for k, n in enumerate(names)])

@@ -141,4 +141,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't call toxic."""
     common.tune(docs.sparkSession)
-    return scored(docs, classifier(docs, labels), score_col="_toxic").where("_toxic < 0.5").drop("_toxic")
+    name = common.fresh(docs, "_toxic")
+    return scored(docs, classifier(docs, labels), score_col=name).where(F.col(name) < 0.5).drop(name)

@@ -10,7 +10,8 @@ The filter has 512-bit blocks, one bit in each of eight 64-bit words, about 16 b
 most MAX_BLOCKS blocks (8 MB), so it may be broadcast. All of it is DataFrame functions.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no entry and is
-allowed; rows that repeat are all returned; no entries allow everything; other columns are ignored."""
+allowed; rows that repeat are all returned; no entries allow everything; other columns
+pass through, but those that the result names."""
 
 from __future__ import annotations
 
@@ -59,7 +60,7 @@ def bloom(entries: DataFrame) -> tuple[DataFrame, int]:
 def judged(rows: DataFrame, entries: DataFrame, *, url_col: str = "url") -> DataFrame:
     """rows with host, path, rule (the longest that fits, or null), listed (a listed entry covers it) and
     verdict. entries: form, kind ('rule' or 'listed'), verdict."""
-    found = parsed(rows, url_col)
+    found = parsed(rows.drop("host", "path", "rule", "listed", "verdict"), url_col)
     lengths = sorted(r[0] for r in entries.select(F.length(F.regexp_extract("form", "^[^/]*(.*)$", 1))).distinct().collect())  # no more than a path's length
     words, blocks = bloom(entries)
     looked = _placed(forms(found.select("host", "path").distinct(), lengths), blocks).join(F.broadcast(words), "block")
