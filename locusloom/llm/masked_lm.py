@@ -30,7 +30,7 @@ FREQUENT, RARE, WINDOW, WIDTH, ONE_IN = 191, 64, 2, 16, 8
 SYMBOLS = 1 + FREQUENT + RARE
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 _SHAPES = {"near": (len(_OFFSETS), SYMBOLS, WIDTH), "out": (WIDTH, SYMBOLS), "bias": (SYMBOLS,)}
-BATCH, RATE, BLOCK = 2048, 0.05, 2048
+BATCH, RATE, BLOCK = 256, 0.1, 2048
 
 
 @dataclass

@@ -248,14 +248,14 @@ def test_bpe_against_tiktoken(docs, none):
 
 def test_masked_lm_beats_single_words(spark, none):
     r, texts = random.Random(1), []
-    for _ in range(300):  # each word is followed by its partner
+    for _ in range(1000):  # each word is followed by its partner
         texts.append(" ".join(f"l{k} r{k}" for k in (r.randrange(20) for _ in range(60))))
-    docs = spark.createDataFrame([*enumerate([*texts, None, "", "l1", prose(20000, 9)])], "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate([*texts, None, "", "l1", prose(20000, 9)])], "doc_id long, text string").repartition(2)
     net = masked_lm.train(docs)
     got = {x.doc_id: x for x in masked_lm.scored(docs, net).collect()}
     single = np.log(1 / 40)
-    assert np.mean([got[i].mean_log_prob for i in range(300)]) > single + 0.5
-    assert (got[300].n_words, got[300].log_prob, got[301].mean_log_prob, got[302].n_words, got[303].n_words) == (0, 0.0, 0.0, 1, 20000)
+    assert np.mean([got[i].mean_log_prob for i in range(1000)]) > single + 0.5
+    assert (got[1000].n_words, got[1000].log_prob, got[1001].mean_log_prob, got[1002].n_words, got[1003].n_words) == (0, 0.0, 0.0, 1, 20000)
     symbols = net.symbols(next(texthash.words([texts[0].encode()])))
     padded = np.pad(symbols, 2)
     brute = 0.0
