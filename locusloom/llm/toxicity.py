@@ -60,7 +60,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: in
     w, bias = np.zeros(len(known)), 0.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    sparsity = sparsity + 3 * prior / n_p  # a word that three positives hold by chance stays without weight
+    sparsity = sparsity + prior * (20 / n_p) ** 2  # with few positives a word that some of them hold by chance stays without weight
     for t in range(1, steps + 1):
         z = np.bincount(doc, w[column], len(rows)) + bias
         s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
