@@ -15,6 +15,11 @@ _NONE = -1e18
 
 def align(ref: str, query: str, mode: str = "global", open_gap: float = -10.0, extend_gap: float = -0.5) -> tuple[float, str, str]:
     """Score and both sequences with gaps; local mode gives the aligned parts only."""
+    return located(ref, query, mode, open_gap, extend_gap)[:3]
+
+
+def located(ref: str, query: str, mode: str = "global", open_gap: float = -10.0, extend_gap: float = -0.5) -> tuple[float, str, str, int, int]:
+    """align, and how many letters of either sequence lie before the aligned parts."""
     n, m = len(ref), len(query)
     a, b = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (ref, query))
     local = mode == "local"
@@ -60,11 +65,9 @@ def align(ref: str, query: str, mode: str = "global", open_gap: float = -10.0, e
         if not (i or j):
             break
         state = int(np.argmax(options))
-        if i == 0:
-            state = 2
-        elif j == 0:
-            state = 1
-    return score, "".join(reversed(x)), "".join(reversed(y))
+        if not local:  # at a border only gaps are left; a local alignment ends there
+            state = 2 if i == 0 else 1 if j == 0 else state
+    return score, "".join(reversed(x)), "".join(reversed(y)), int(i), int(j)
 
 
 def numbering(query: str, ref: str, signal: int = 16, ha2_start: int | None = None) -> list[tuple[int, str]]:
@@ -112,6 +115,28 @@ def aligned(ref: str, query: str, mode: str = "global"):
     return run(F.col(ref), F.col(query))
 
 
+def traced(ref: str, query: str, mode: str = "local"):
+    """A column (score, pairs of positions (ref_pos, query_pos), from 1, that are aligned letter to letter)."""
+
+    @F.pandas_udf("score double, pairs array<struct<ref_pos: int, query_pos: int>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, q in zip(a, b, strict=True):
+            if not (isinstance(r, str) and isinstance(q, str)):
+                out.append((None, None))
+                continue
+            score, x, y, i, j = located(r, q, mode)
+            pairs = []
+            for u, v in zip(x, y, strict=True):
+                i, j = i + (u != "-"), j + (v != "-")
+                if u != "-" and v != "-":
+                    pairs.append({"ref_pos": i, "query_pos": j})
+            out.append((score, pairs))
+        return pd.DataFrame(out, columns=["score", "pairs"])
+
+    return run(F.col(ref), F.col(query))
+
+
 def numbered(query: str, ref: str, signal: int = 16, ha2_start: int | None = None):
     """An array column of (query_pos, label)."""
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.alignment import traced
+
 #: Three-letter residue names.
 RESIDUES = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
 
@@ -60,6 +62,16 @@ def chain_sequences(residues: DataFrame) -> DataFrame:
     return out.withColumn("monomer", F.count("*").over(Window.partitionBy()) == 1)
 
 
+def structure_sites(residues: DataFrame, sequence: str, *, least_score: float = 50.0) -> DataFrame:
+    """chain, seq_pos (of the sequence, from 1), resseq, icode, residue: the sequence's positions in every chain whose local
+    alignment with it scores at least least_score, read off the alignment."""
+    one = chain_sequences(residues).select("chain", F.lit(sequence).alias("_q"), "sequence")
+    found = one.withColumn("_t", traced("_q", "sequence")).where(F.col("_t.score") >= least_score)
+    pairs = found.select("chain", F.explode("_t.pairs").alias("_p")).select("chain", F.col("_p.ref_pos").alias("seq_pos"), F.col("_p.query_pos").alias("_at"))
+    placed = residues.withColumn("_at", F.row_number().over(Window.partitionBy("chain").orderBy("ord")))
+    return pairs.join(placed, ["chain", "_at"]).select("chain", "seq_pos", "resseq", "icode", "residue")
+
+
 def with_bfactor(atoms: DataFrame, scores: DataFrame, *, positive: bool = False) -> DataFrame:
     """PDB lines (ord, mutation if scores have it, value) whose B-factor is the residue's score (scores: resseq, score),
     0 where there is none, rounded to two places in six columns."""
