@@ -12,6 +12,7 @@ from ..functions import sequence as seq
 from ..operators import model_output as mo
 from ..operators import relational as rel
 from ..operators import statistics as st
+from ..operators import surveillance as sv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -521,3 +522,42 @@ def align_map(spark: SparkSession, sf: str) -> DataFrame:
     ref = p.orderBy("item_id").limit(1).select(F.col("q").alias("r"))
     out = p.join(F.broadcast(ref)).select("item_id", "q", "r").withColumn("map", numbered("q", "r", signal=5, ha2_start=40))
     return out.select("item_id", F.inline("map"))
+
+
+# --- composites ------------------------------------------------------------------------------------------------
+
+_SCORES = "SELECT p_partkey::VARCHAR AS label, p_partkey * 37 % 1273 AS pos, p_retailprice::DOUBLE AS price, p_size::DOUBLE AS size FROM part"
+_PLACED = f"""s AS ({_SCORES}), l AS (SELECT label, pos, 'price' AS feature, price AS value FROM s UNION ALL SELECT label, pos, 'size', size FROM s),
+    r AS (SELECT *, 'spike' AS region FROM l UNION ALL SELECT *, 'rbd' FROM l WHERE pos BETWEEN 319 AND 541),
+    k AS (SELECT *, row_number() OVER (PARTITION BY feature, region ORDER BY value DESC, label) AS place, count(*) OVER (PARTITION BY feature, region) AS n FROM r)"""
+
+
+def _part_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "part").selectExpr("string(p_partkey) AS label", "p_partkey * 37 % 1273 AS pos", "double(p_retailprice) AS price", "double(p_size) AS size")
+
+
+@query(f"""
+    WITH {_PLACED}, b AS (SELECT * FROM (VALUES (0::DOUBLE, 0.1::DOUBLE), (0.1, 0.25), (0.25, 1)) AS x(lo, hi)),
+    v AS (SELECT l_partkey::VARCHAR AS label, l_returnflag AS voc, count(*) AS c FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+    f AS (SELECT * FROM (VALUES ('A'), ('R')) AS y(voc))
+    SELECT k.feature, k.region, b.hi AS proportion, f.voc, coalesce(sum(v.c), 0)::DOUBLE AS "count"
+    FROM k JOIN b ON k.place > floor(k.n * b.lo) AND k.place <= floor(k.n * b.hi) CROSS JOIN f LEFT JOIN v ON v.label = k.label AND v.voc = f.voc GROUP BY ALL""")
+def variant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("mutation"))
+    variants = lines.agg(F.count_if(F.col("l_returnflag") == "A").alias("A"), F.count_if(F.col("l_returnflag") == "R").alias("R"))
+    return sv.variant_counts(_part_scores(spark, sf), variants, ["price", "size"], ["A", "R"])
+
+
+@query(f"""
+    WITH {_PLACED}, q AS (SELECT * FROM (VALUES (0.1::DOUBLE), (0.5)) AS x(proportion)),
+    m AS (SELECT DISTINCT l_partkey::VARCHAR AS label, date_trunc('month', l_shipdate)::DATE AS date FROM lineitem), d AS (SELECT DISTINCT date FROM m),
+    top AS (SELECT feature, region, label, n, proportion FROM k JOIN q ON place <= floor(n * proportion)),
+    c AS (SELECT feature, region, proportion, date, count(*) AS c FROM top JOIN m USING (label) GROUP BY ALL),
+    g AS (SELECT DISTINCT feature, region, proportion, n, date FROM top CROSS JOIN d)
+    SELECT date, (sum(coalesce(c, 0)) OVER w)::BIGINT AS "count", round((sum(coalesce(c, 0)) OVER w)::DOUBLE / floor(n * proportion), 9) AS percentage, proportion, feature, CASE feature WHEN 'price' THEN 'p' ELSE 's' END AS method, region
+    FROM g LEFT JOIN c USING (feature, region, proportion, date) WINDOW w AS (PARTITION BY feature, region, proportion ORDER BY date)""")
+def share_seen_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _part_scores(spark, sf)
+    months = t(spark, sf, "lineitem").selectExpr("string(l_partkey) AS mutation", "date(date_trunc('month', l_shipdate)) AS sample_date").distinct()
+    monthly = months.join(parts.selectExpr("label AS mutation", f"{sv.DOMAIN} AS rbd"), "mutation")
+    return sv.share_seen_by_date(parts, monthly, {"price": "p", "size": "s"}, [0.1, 0.5], regions=sv.BY_DATE_ALL).withColumn("percentage", F.round("percentage", 9))
