@@ -31,16 +31,9 @@ def ranked(df: DataFrame, by: Column, tie: str, name: str, *, parts: int | None
     return numbered.join(F.broadcast(shift), "_range").withColumn(name, (F.col("_own") + F.col("_shift")).cast("int")).drop("_range", "_own", "_shift")
 
 
-def ranked_within(df: DataFrame, by: list[str], order: Column, tie: str, name: str, *, parts: int | None = None) -> DataFrame:
-    """Row numbers within groups (no null keys). Ranges cut through large groups, so none is gathered; each range's part of
-    a group is numbered on its own and shifted by the group's parts before."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *by, order, F.col(tie)).withColumn("_range", F.spark_partition_id())
-    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *by).orderBy(order, F.col(tie))))
-    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return numbered.join(shift, [*by, "_range"]).withColumn(name, (F.col("_own") + F.col("_shift")).cast("int")).drop("_range", "_own", "_shift")
+def ranked_within(df: DataFrame, by: list[str], order: Column, tie: str, name: str) -> DataFrame:
+    """Row numbers within groups. One sort per group: a group must fit one task's sort, which spills to disk."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, F.col(tie))))
 
 
 def priority(df: DataFrame, semantic: str, grammatical: str, tie: str) -> DataFrame:
