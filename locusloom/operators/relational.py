@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def ranked(df: DataFrame, by: Column, tie: str, name: str, *, parts: int | None
     shifted by the sizes of those before, a table with a row for each range."""
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, by, F.col(tie)).withColumn("_range", F.spark_partition_id())
+    dealt = df.repartitionByRange(n, by, F.col(tie)).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)  # both branches must see the same ranges
     own = Window.partitionBy("_range").orderBy(by, F.col(tie))
     numbered = dealt.withColumn("_own", F.row_number().over(own))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -91,7 +92,7 @@ def percent_below(df: DataFrame, value: str, name: str) -> DataFrame:
     """The share of values strictly below, in percent: counts per value, summed up range by range."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
     spark = df.sparkSession
-    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), value).withColumn("_range", F.spark_partition_id())
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), value).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)  # both branches must see the same ranges
     own = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = dealt.withColumn("_own", F.coalesce(F.sum("_c").over(own), F.lit(0)))
     sizes = dealt.groupBy("_range").agg(F.sum("_c").alias("_n"))
