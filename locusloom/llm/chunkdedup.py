@@ -5,7 +5,8 @@ white space where the hash falls under a quarter of its range, so chunks hold 4
 and the same passage gets the same chunks wherever it stands and whatever was inserted before it.
 A chunk without white space ends after MAX_BYTES at a character's start. Chunks are compared by
 digest (without surrounding white space). A chunk that an earlier document (smaller id) holds too is
-repeated there; neighbouring repeated chunks join to runs, and runs of MIN_WORDS words or more are
+repeated there; neighbouring repeated chunks join to runs (each chunk's span reaches over the white space up to
+the next one, so white space alone parts no run), and runs of MIN_WORDS words or more are
 reported, and cut by `without_repeats`. A passage of 50 words holds such a run but for some 2 in 1000;
 shorter runs are everyday phrases and stay.
 
@@ -64,7 +65,8 @@ def chunk_ends(data: bytes) -> np.ndarray:
 
 
 def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and packed spans of the chunks that hold a word."""
+    """Digests and packed spans of the chunks that hold a word, each up to the next such chunk's start. A span too
+    long for its bits (by white space) goes on in further ones with the same digest and no words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -73,10 +75,18 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     inside = ~texthash.SPACES[np.frombuffer(data, np.uint8)]
     begun = np.cumsum(inside & ~np.append(False, inside[:-1]))
     n = np.diff(begun[ends - 1], prepend=0)
-    digests = np.array([xxhash.xxh3_64_intdigest(data[s:e].strip()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
-    spans = (starts << (_LENGTH_BITS + _WORD_BITS)) | ((ends - starts) << _WORD_BITS) | n
     full = inside[starts] | (n > 0)
-    return digests[full], spans[full]
+    starts, ends, n = starts[full], ends[full], n[full]
+    digests = np.array([xxhash.xxh3_64_intdigest(data[s:e].strip()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    lengths = np.append(starts[1:], len(data))[: len(starts)] - starts
+    most = (1 << _LENGTH_BITS) - 1
+    if len(lengths) and lengths.max() > most:
+        pieces = -(-lengths // most)
+        of = np.repeat(np.arange(len(lengths)), pieces)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        digests, n = digests[of], np.where(at == 0, n[of], 0)
+        starts, lengths = starts[of] + at * most, np.minimum(most, lengths[of] - at * most)
+    return digests, (starts << (_LENGTH_BITS + _WORD_BITS)) | (lengths << _WORD_BITS) | n
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

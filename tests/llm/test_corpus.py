@@ -343,6 +343,25 @@ def test_repeats(spark, none):
     assert chunkdedup.repeats(none).count() == 0 and chunkdedup.without_repeats(none).columns == none.columns
 
 
+@pytest.mark.parametrize("parting", ["  ", " \n\n", "\n    ", "\t \r\n", " " * 5000])
+def test_repeats_over_wide_white_space(spark, parting):
+    def spaced(text):
+        w = text.split(" ")
+        return "".join(x + (parting if i % 6 == 5 or len(parting) == 2 else " ") for i, x in enumerate(w))
+
+    def own(n, seed):  # words that no other seed gives
+        return " ".join(f"{w}{seed}" for w in prose(n, seed).split(" "))
+
+    passages = [spaced(own(55, 1000 + i)) for i in range(60)]
+    rows = [(2 * i + k, f"{own(40, 2000 + 2 * i + k)}\n{p}{own(40, 3000 + 2 * i + k)}") for i, p in enumerate(passages) for k in (0, 1)]
+    found = {}
+    for r in chunkdedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        cut = rows[r.doc_id][1].encode()[r.start_byte : r.end_byte].decode()
+        assert cut.strip() in passages[r.doc_id // 2] and r.n_words == len(cut.split()) and r.kept_doc_id == r.doc_id - 1
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.n_words
+    assert len(found) >= 59 and sum(found.values()) / len(found) > 40
+
+
 def test_chunks_resist_shifts():
     text = prose(2000, 60)
     a, b = ({int(d) for d in chunkdedup.chunks(t)[0]} for t in (text, "inserted in front " + text))
