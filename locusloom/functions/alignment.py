@@ -6,6 +6,8 @@ pair, then a gap in the query, then a gap in the reference, from the end."""
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -72,14 +74,13 @@ def located(ref: str, query: str, mode: str = "global", open_gap: float = -10.0,
 
 def numbering(query: str, ref: str, signal: int = 16, ha2_start: int | None = None) -> list[tuple[int, str]]:
     """Canonical labels of the query's positions (0-based): the reference's signal peptide is `SP-15` .. `SP0`, mature
-    positions count from 1, and from ha2_start on `HA2:1` ..; insertions take the last label with A, B, ...;
-    the suffix counts all earlier labels that start with the base; a query gap advances the mature
-    count but not the HA2 count."""
+    positions count from 1, and from ha2_start on `HA2:1` ..; insertions take the last label, without capitals at its
+    end, with A, B, ... (characters after Z follow as they are coded); the suffix counts all earlier labels that start
+    with the base and are longer; a query gap advances the mature count but not the HA2 count."""
     _, x, y = align(ref, query)
     out: list[tuple[int, str]] = []
     labels: list[str] = []
     at = mature = ha2 = used = 0
-    last = None
     for r, q in zip(x, y, strict=True):
         if r != "-":
             used += 1
@@ -93,11 +94,11 @@ def numbering(query: str, ref: str, signal: int = 16, ha2_start: int | None = No
                 label = f"HA2:{ha2}" if in_ha2 else str(mature)
             if q == "-":
                 continue
-            last = label
-        elif last is None:
+        elif not labels:
             label = "N-term-Insert"
         else:
-            label = last + chr(ord("A") + sum(k.startswith(last) for k in labels) - 1)
+            base = labels[-1].rstrip(ascii_uppercase)
+            label = base + chr(ord("A") + sum(k.startswith(base) and k != base for k in labels))
         out.append((at, label))
         labels.append(label)
         at += 1
@@ -138,10 +139,10 @@ def traced(ref: str, query: str, mode: str = "local"):
 
 
 def numbered(query: str, ref: str, signal: int = 16, ha2_start: int | None = None):
-    """An array column of (query_pos, label)."""
+    """An array column of (query_pos, label); null if either is null."""
 
     @F.pandas_udf("array<struct<query_pos: int, label: string>>")
     def run(q: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([[{"query_pos": p, "label": t} for p, t in numbering(x, y, signal, ha2_start)] for x, y in zip(q, r, strict=True)])
+        return pd.Series([[{"query_pos": p, "label": t} for p, t in numbering(x, y, signal, ha2_start)] if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(q, r, strict=True)])
 
     return run(F.col(query), F.col(ref))

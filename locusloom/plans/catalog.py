@@ -515,12 +515,13 @@ def density_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def align_map(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical numbering of short sequences against one reference."""
+    """Canonical numbering of whole sequences against one reference, the first that has letters; a null or empty sequence
+    has no positions."""
     from ..functions.alignment import numbered
 
-    p = _proteins(spark, sf).withColumn("q", F.substring("s", 1, 60)).where("length(q) = 60")
-    ref = p.orderBy("item_id").limit(1).select(F.col("q").alias("r"))
-    out = p.join(F.broadcast(ref)).select("item_id", "q", "r").withColumn("map", numbered("q", "r", signal=5, ha2_start=40))
+    p = _proteins(spark, sf)
+    ref = p.where("length(s) > 0").orderBy("item_id").limit(1).select(F.col("s").alias("r"))
+    out = p.join(F.broadcast(ref)).select("item_id", "s", "r").withColumn("map", numbered("s", "r", signal=5, ha2_start=40))
     return out.select("item_id", F.inline("map"))
 
 
