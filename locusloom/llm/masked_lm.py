@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from
 the WINDOW words on both sides; the summed conditional log-probabilities score a document.
 
-Words are counted over all documents. The FREQUENT most common get a symbol each, all others one of RARE
-symbols by their hash, and one symbol stands outside the text. The network adds up one embedding per
-neighbour and place, squashes the sum, and gives a distribution over all symbols.
+Words are counted over all documents. The most common (FREQUENT, and more by the cube root of the number of
+distinct words) get a symbol each, all others one of RARE symbols by their hash, and one symbol stands outside the
+text. The network adds up one embedding per neighbour and place, squashes the sum, and gives a distribution over all
+symbols. A rare word's probability is that of its symbol times its own share of the symbol's count, so words are scored,
+not symbols. Counts of the KNOWN most common words go to all workers, the counts from 2 of all others are joined; a
+word that wasn't counted scores as one counted once.
 
 Training passes over every document once: each partition masks one word in ONE_IN (by a hash of word and
 place), steps through its own words from the same start, and the partitions' weights are averaged, weighted
 by their words, in a DataFrame aggregation. Counts and weights that are shuffled grow with the corpus; the driver
-gets the frequent words and the averaged weights only, whose sizes are fixed.
+gets the KNOWN words, and the averaged weights, whose size grows with the frequent words.
 
 Defined results: a null or wordless text has no words and a score of 0; a text of one word is predicted from
 the outside symbols; long texts are scored in blocks, whole; rows that repeat are all scored; an empty table
@@ -17,7 +20,7 @@ gives no rows; other columns are ignored."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,19 @@ from pyspark.sql import functions as F
 from . import common, texthash
 
 FREQUENT, RARE, WINDOW, WIDTH, ONE_IN = 191, 64, 2, 16, 8
-SYMBOLS = 1 + FREQUENT + RARE
+KNOWN = 1 << 18
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
-_SHAPES = {"near": (len(_OFFSETS), SYMBOLS, WIDTH), "out": (WIDTH, SYMBOLS), "bias": (SYMBOLS,)}
 BATCH, RATE, BLOCK = 256, 0.1, 2048
 
 
+def n_frequent(distinct: int) -> int:
+    return max(FREQUENT, int(2 * distinct ** (1 / 3)) - RARE)
+
+
+def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
+    return {"near": (len(_OFFSETS), symbols, WIDTH), "out": (WIDTH, symbols), "bias": (symbols,)}
+
+
 @dataclass
 class Network:
     frequent: np.ndarray  # sorted hashes
@@ -40,9 +50,13 @@ class Network:
     near: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    rare: np.ndarray  # counts of the rare symbols
+    known: np.ndarray  # sorted hashes
+    known_log: np.ndarray  # logarithms of their counts
+    tail: DataFrame | None = None  # word, n of the others, from 2
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (1 + FREQUENT + (hashes % np.uint64(RARE)).astype(np.int32)).astype(np.int32)
+        rare = (len(self.bias) - RARE + (hashes % np.uint64(RARE)).astype(np.int32)).astype(np.int32)
         if not len(self.frequent) or not len(hashes):
             return rare
         at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
@@ -69,25 +83,41 @@ class Network:
         return total
 
 
-def started(frequent: list[tuple[int, int]], rare: np.ndarray) -> Network:
-    """frequent: (hash, count), the most frequent first; rare: counts of the rare symbols."""
+    def within(self, hashes: np.ndarray, symbols: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of log-probabilities of rare words given their symbols, as if words that aren't known had been
+        counted once; and those words."""
+        first = len(self.bias) - RARE
+        own = symbols >= first
+        words = hashes[own]
+        total = -float(np.log(np.maximum(self.rare[symbols[own] - first], 1)).sum())
+        if not len(self.known) or not len(words):
+            return total, words
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        found = self.known[at] == words
+        return total + float(self.known_log[at[found]].sum()), words[~found]
+
+
+def started(frequent: list[tuple[int, int]], rare: np.ndarray, slots: int, known: list[np.ndarray]) -> Network:
+    """frequent: (hash, count), the most frequent first; rare: counts of the rare symbols; slots: symbols for frequent
+    words; known: hashes and counts."""
     rng = np.random.default_rng(6)
     hashes = np.array([h for h, _ in frequent], np.uint64)
     order = np.argsort(hashes)
-    counts = np.ones(SYMBOLS)
+    counts = np.ones(1 + slots + RARE)
     counts[1 : 1 + len(frequent)] += [c for _, c in frequent]
-    counts[1 + FREQUENT :] += rare
+    counts[1 + slots :] += rare
     bias = np.log(counts / counts.sum()).astype(np.float32)
-    near, out = (0.1 * rng.standard_normal(_SHAPES[k]).astype(np.float32) for k in ("near", "out"))
-    return Network(hashes[order], (1 + order).astype(np.int32), near, out, bias)
+    near, out = (0.1 * rng.standard_normal(shapes(len(bias))[k]).astype(np.float32) for k in ("near", "out"))
+    sort = np.argsort(known[0])
+    return Network(hashes[order], (1 + order).astype(np.int32), near, out, bias, rare, known[0][sort], np.log(known[1][sort]))
 
 
 class Trainer:
     """AdaGrad over batches of masked words."""
 
     def __init__(self, net: Network):
-        self.net = Network(net.frequent, net.symbol, net.near.copy(), net.out.copy(), net.bias.copy())
-        self.squares = {k: np.full(_SHAPES[k], 1e-3, np.float32) for k in _SHAPES}
+        self.net = replace(net, near=net.near.copy(), out=net.out.copy(), bias=net.bias.copy())
+        self.squares = {k: np.full(v, 1e-3, np.float32) for k, v in shapes(len(net.bias)).items()}
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = self.seen = 0
 
@@ -122,9 +152,9 @@ class Trainer:
             z[np.arange(len(y)), y] -= 1
             z /= len(y)
             back = (z @ net.out.T) * (1 - h * h)
-            grad = np.zeros(_SHAPES["near"], np.float32)
+            grad = np.zeros(net.near.shape, np.float32)
             for k in range(x.shape[1]):
-                one = np.zeros((len(y), SYMBOLS), np.float32)
+                one = np.zeros((len(y), len(net.bias)), np.float32)
                 one[np.arange(len(y)), x[:, k]] = 1
                 grad[k] = one.T @ back
             self._move("near", grad)
@@ -163,7 +193,7 @@ def _trained(net: Network):
                 trainer.add(trainer.net.symbols(w), w)
         trainer.step()
         if trainer.seen:
-            names = list(_SHAPES)
+            names = list(shapes(0))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([trainer.seen] * 3, pa.int64()), pa.array([getattr(trainer.net, k).ravel() for k in names], pa.list_(pa.float32()))], ["name", "n", "weights"])
 
     return run
@@ -172,33 +202,61 @@ def _trained(net: Network):
 def train(docs: DataFrame, *, text_col: str = "text") -> Network:
     texts = docs.select(F.col(text_col).alias("text"))
     counts = common.stored(texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = [(r[0] % 2**64, r[1]) for r in counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
+    slots = n_frequent(counts.count())
+    top = [(r[0] % 2**64, r[1]) for r in counts.orderBy(F.col("n").desc(), "word").limit(slots).collect()]
     unsigned = F.col("word").bitwiseAND(F.lit(RARE - 1))
     rare = np.zeros(RARE)
     for r in counts.groupBy(unsigned.alias("s")).agg(F.sum("n").alias("n")).collect():  # RARE rows at most
         rare[r[0]] = r[1]
     for h, c in top:
         rare[h % RARE] -= c
-    net = started(top, rare)
-    moved = texts.mapInArrow(_trained(net), "name string, n long, weights array<float>")
+    steps = F.floor(8 * F.log2("n"))  # eighths of a doubling: few, whatever the input
+    least, size = 0, 0
+    for r in sorted(counts.groupBy(steps.alias("s")).count().collect(), reverse=True):
+        size += r[1]
+        if size > KNOWN:
+            least = r[0] + 1
+            break
+    known = counts.where(steps >= least).select("word", "n").toArrow()
+    net = started(top, rare, slots, [known.column(0).to_numpy().view(np.uint64), known.column(1).to_numpy()])
+    moved = texts.mapInArrow(_trained(replace(net, known=net.known[:0], known_log=net.known_log[:0])), "name string, n long, weights array<float>")
     mean = moved.select("name", "n", F.posexplode("weights").alias("at", "w")).groupBy("name", "at").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
     for r in mean.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("w")).collect():  # the weights, of fixed size
-        setattr(net, r[0], np.array(r[1], np.float32).reshape(_SHAPES[r[0]]))
+        setattr(net, r[0], np.array(r[1], np.float32).reshape(getattr(net, r[0]).shape))
+    net.tail = counts.where((steps < least) & (F.col("n") > 1))
     return net
 
 
 def scored(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum over words), mean_log_prob (0 without words)."""
 
+    local = replace(net, tail=None)
+    names = ["row", "doc_id", "n_words", "log_prob", "word", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text one row with its figures (times 0, word at random), and one for each distinct word that isn't known."""
         for b in batches:
-            n, total = [], []
-            for w in _words(b, 1):
+            rows = b.column(0).to_numpy()
+            n, total, tails = [], [], []
+            for w in _words(b, 2):
+                symbols = local.symbols(w)
+                inside, others = local.within(w, symbols)
                 n.append(len(w))
-                total.append(net.log_prob(net.symbols(w)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_prob"])
-
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_words long, log_prob double")
+                total.append(local.log_prob(symbols) + inside)
+                tails.append(np.unique(others, return_counts=True))
+            figures = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(texthash.mix(rows.astype(np.uint64), 16).view(np.int64)), pa.array(np.zeros(len(n), np.int64))]
+            yield pa.RecordBatch.from_arrays(figures, names)
+            size = [len(t[0]) for t in tails]
+            if sum(size):
+                m = sum(size)
+                words, times = (np.concatenate(x) for x in zip(*tails, strict=True))
+                more = [pa.array(np.repeat(rows, size)), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m)), pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(more, names)
+
+    out = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, word long, times long")
+    if net.tail is not None:
+        out = out.join(net.tail, "word", "left").withColumn("log_prob", F.col("log_prob") + F.col("times") * F.log(F.coalesce("n", F.lit(1))))
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob")).drop("row")
     return out.withColumn("mean_log_prob", F.coalesce(F.try_divide("log_prob", "n_words"), F.lit(0.0)))
 
 

@@ -267,6 +267,35 @@ def test_masked_lm_beats_single_words(spark, none):
     assert masked_lm.scored(none, masked_lm.train(none)).count() == 0
 
 
+def test_masked_lm_scores_words_within_their_symbols(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "KNOWN", 600)  # so that some words are known and some are joined
+    texts = [prose(400, 100 + i) for i in range(12)] + ["qqq", "qqq qqq unique", "", None]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    net = masked_lm.train(docs)
+    assert len(net.known) and net.tail.count()
+    counts = {}
+    for _, t in rows:
+        for w in next(texthash.words([(t or "").encode()])).tolist():
+            counts[w] = counts.get(w, 0) + 1
+    frequent = set(net.frequent.tolist())
+    bucket = {}
+    for w, n in counts.items():
+        if w not in frequent:
+            bucket[w % masked_lm.RARE] = bucket.get(w % masked_lm.RARE, 0) + n
+    want = []
+    for i, t in rows:
+        w = next(texthash.words([(t or "").encode()]))
+        inside = sum(np.log(counts[x] / bucket[x % masked_lm.RARE]) for x in w.tolist() if x not in frequent)
+        want.append((-1 if i is None else i, len(w), net.log_prob(net.symbols(w)) + inside))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_prob) for r in masked_lm.scored(docs, net).collect())
+    assert len(got) == len(want) and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 * (1 + abs(w[2])) for g, w in zip(got, sorted(want), strict=True))
+    odd = masked_lm.scored(spark.createDataFrame([(0, "junkjunk")], "doc_id long, text string"), net).first()  # not counted: as if once
+    h = next(texthash.words([b"junkjunk"]))
+    assert abs(odd.log_prob - net.log_prob(net.symbols(h)) + np.log(bucket[int(h[0]) % masked_lm.RARE])) < 1e-6
+    assert masked_lm.n_frequent(400_000) == masked_lm.FREQUENT < masked_lm.n_frequent(4_000_000) < masked_lm.n_frequent(400_000_000)
+
+
 # --- nearest neighbours
 
 
