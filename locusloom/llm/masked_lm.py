@@ -8,8 +8,7 @@ symbols. A rare word's probability is that of its symbol times its own share of
 not symbols. Counts of the KNOWN most common words go to all workers, the counts from 2 of all others are joined; a
 word that wasn't counted scores as one counted once.
 
-Training passes over every document once: each partition masks one word in ONE_IN (by a hash of word and
-place), steps through its own words from the same start, and the partitions' weights are averaged, weighted
+Training passes over every document once: each partition predicts every word in turn, steps through its own words from the same start, and the partitions' weights are averaged, weighted
 by their words, in a DataFrame aggregation. Counts and weights that are shuffled grow with the corpus; the driver
 gets the KNOWN words, and the averaged weights, whose size grows with the frequent words.
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, texthash
 
-FREQUENT, RARE, WINDOW, WIDTH, ONE_IN = 191, 64, 2, 16, 8
+FREQUENT, RARE, WINDOW, WIDTH = 191, 64, 2, 16
 KNOWN = 1 << 18
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 BATCH, RATE, BLOCK = 256, 0.1, 2048
@@ -113,7 +112,7 @@ def started(frequent: list[tuple[int, int]], rare: np.ndarray, slots: int, known
 
 
 class Trainer:
-    """AdaGrad over batches of masked words."""
+    """AdaGrad over batches of words; each is masked once, and none sees itself."""
 
     def __init__(self, net: Network):
         self.net = replace(net, near=net.near.copy(), out=net.out.copy(), bias=net.bias.copy())
@@ -121,15 +120,15 @@ class Trainer:
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = self.seen = 0
 
-    def add(self, symbols: np.ndarray, hashes: np.ndarray) -> None:
+    def add(self, symbols: np.ndarray) -> None:
         self.seen += len(symbols)
-        masked = np.flatnonzero(texthash.mix(hashes + np.arange(len(hashes), dtype=np.uint64), 15) % np.uint64(ONE_IN) == 0)
-        if len(masked):
-            padded = np.pad(symbols, WINDOW)
-            self.waiting.append((np.stack([padded[masked + WINDOW + o] for o in _OFFSETS], 1), symbols[masked]))
-            self.n += len(masked)
-        if self.n >= BATCH:
-            self.step()
+        padded = np.pad(symbols, WINDOW)
+        for s in range(0, len(symbols), BLOCK):
+            at = np.arange(s, min(len(symbols), s + BLOCK)) + WINDOW
+            self.waiting.append((np.stack([padded[at + o] for o in _OFFSETS], 1), padded[at]))
+            self.n += len(at)
+            if self.n >= BATCH:
+                self.step()
 
     def _move(self, name: str, grad: np.ndarray) -> None:
         s = self.squares[name]
@@ -190,7 +189,7 @@ def _trained(net: Network):
         trainer = Trainer(net)
         for b in batches:
             for w in _words(b, 0):
-                trainer.add(trainer.net.symbols(w), w)
+                trainer.add(trainer.net.symbols(w))
         trainer.step()
         if trainer.seen:
             names = list(shapes(0))

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,27 @@ def test_masked_lm_scores_words_within_their_symbols(spark, monkeypatch):
     assert masked_lm.n_frequent(400_000) == masked_lm.FREQUENT < masked_lm.n_frequent(4_000_000) < masked_lm.n_frequent(400_000_000)
 
 
+def test_masked_lm_trains_on_every_word(monkeypatch):
+    seen = []
+
+    class Trainer(masked_lm.Trainer):
+        def step(self):
+            seen.extend(np.concatenate([np.column_stack(x) for x in self.waiting]).tolist() if self.waiting else [])
+            super().step()
+
+    monkeypatch.setattr(masked_lm, "Trainer", Trainer)
+    net = masked_lm.started([], np.zeros(masked_lm.RARE), masked_lm.FREQUENT, [np.empty(0, np.uint64), np.empty(0)])
+    texts = [prose(n, n) for n in (1, 2, 5000, 700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], ["text"])
+    (out,) = masked_lm._trained(net)(iter([batch]))
+    want = []
+    for t in texts:
+        x = net.symbols(next(texthash.words([t.encode()]))).tolist()
+        y = [0, 0, *x, 0, 0]
+        want += [[y[i], y[i + 1], y[i + 3], y[i + 4], w] for i, w in enumerate(x)]
+    assert sorted(seen) == sorted(want) and out.column(1).to_pylist() == [len(want)] * 3
+
+
 # --- nearest neighbours
 
 
