@@ -3,7 +3,8 @@
 Lists belong to centres fitted on a bounded sample of SAMPLE vectors (by a hash of their ids); every
 vector is indexed. A query scans the lists of its nearest centres; how many, is measured on the sample,
 so that TARGET of the sample's true neighbours are found (on all vectors recall is at least as high in
-practice, tests hold it against brute force). Within a list, vectors are rotated at random and scanned in
+practice, tests hold it against brute force); where these hold fewer than k other rows, it goes on to further lists
+until they do. Within a list, vectors are rotated at random and scanned in
 blocks of COLUMNS dimensions: a candidate is abandoned as soon as its partial distance, scaled up to all
 dimensions with a margin of EPSILON standard errors, exceeds the tenth best so far. What remains gets its
 exact distance on the original vectors in double precision.
@@ -112,12 +113,18 @@ def _scanned(k: int):
     return run
 
 
-def _assigned(centres: np.ndarray, n: int):
+def _assigned(centres: np.ndarray, n: int, sizes: np.ndarray | None = None, least: int = 0):
+    """The n nearest lists of each vector, and further ones until they hold `least` rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                lists = nearest(_matrix(b.column(1)), centres, n).astype(np.int32)
-                whole = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * lists.shape[1]), pa.array(lists.ravel()))
+                lists = nearest(_matrix(b.column(1)), centres, n if sizes is None else len(centres)).astype(np.int32)
+                taken = np.full(len(lists), min(n, lists.shape[1]))
+                if sizes is not None:
+                    taken = np.minimum(np.maximum(taken, 1 + (np.cumsum(sizes[lists], 1) < least).sum(1)), lists.shape[1])
+                flat = lists[np.arange(lists.shape[1]) < taken[:, None]]
+                whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), whole], ["vec_id", "vector", "lists"])
 
     return run
@@ -146,7 +153,11 @@ def search(vectors: DataFrame, is_query: F.Column, *, id_col: str = "vec_id", ve
     centres = fitted(sample, max(1, min(MAX_LISTS, int(n**0.5 / 2))))
     probed = probes(sample, centres, k)
     indexed = rows.select("vec_id", "vector").mapInArrow(_assigned(centres, 1), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.col("lists")[0].alias("list"))
-    asked = rows.where("_query").select("vec_id", "vector").mapInArrow(_assigned(centres, probed), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
+    sizes = np.zeros(len(centres), np.int64)
+    for r in indexed.groupBy("list").count().collect():  # a row for each list at most
+        sizes[r[0]] = r[1]
+    own = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one id aren't each other's candidates
+    asked = rows.where("_query").select("vec_id", "vector").mapInArrow(_assigned(centres, probed, sizes, k + own), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
     pairs = _blocks(indexed, BLOCK, "ids", "vectors").join(_blocks(asked, QUERIES, "query_ids", "query_vectors"), "list")
     pairs = pairs.select("ids", "vectors", "query_ids", "query_vectors").repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
