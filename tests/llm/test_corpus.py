@@ -345,10 +345,12 @@ def test_neighbours(spark):
     assert len(few) == 3 and ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df.where("vec_id >= 5000"), F.lit(True)).count() == 0
 
 
-def test_neighbours_of_sparse_regions(spark):
+def test_neighbours_of_sparse_regions(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.standard_normal((2000, 8)), 100 * np.eye(8)[:4] + 0.1])  # four outliers far from all others
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "fitted", lambda sample, lists: np.vstack([np.zeros(8), x[2000:]]))  # a list for each outlier
+    monkeypatch.setattr(ann, "probes", lambda *a: 1)
     got = ann.search(df, F.col("vec_id") >= 2000).groupBy("query_id").count().collect()
     assert {r[0]: r[1] for r in got} == dict.fromkeys(range(2000, 2004), 10)
 
