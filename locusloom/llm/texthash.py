@@ -45,6 +45,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed(buffer: bytes, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first and end bytes of the words of a buffer."""
+    return _summed(buffer, parting)[:3]
+
+
+def _summed(buffer: bytes, parting: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes, first and end bytes of the words; prefix sums and the factors that bring them to one scale."""
     a = np.frombuffer(buffer, np.uint8)
     inside = np.zeros(len(a) + 2, np.int8)
     inside[1:-1] = ~parting[a]
@@ -53,24 +58,41 @@ def _hashed(buffer: bytes, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     up, down = _powers(len(a) + 1)
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)), first, end
+    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)), first, end, sums, down
 
 
-def _long(data: bytes, parting: np.ndarray) -> np.ndarray:
-    """The words of one text, segment by segment."""
-    out, at = [], 0
+def _segments(data: bytes, parting: np.ndarray) -> Iterator[bytes]:
+    """A text in segments that end between words; a word longer than a segment stays whole."""
+    at = 0
     while at < len(data):
         to = min(len(data), at + SEGMENT)
         if to < len(data):
             cut = np.flatnonzero(parting[np.frombuffer(data, np.uint8, to - at, at)])
-            while not len(cut) and to < len(data):  # a word longer than a segment
+            while not len(cut) and to < len(data):
                 more = min(len(data), to + SEGMENT)
                 cut = np.flatnonzero(parting[np.frombuffer(data, np.uint8, more - to, to)]) + (to - at)
                 to = more
             if len(cut) and to < len(data) or len(cut) and not parting[data[to - 1]]:
                 to = at + int(cut[-1]) + 1
-        out.append(_hashed(data[at:to], parting)[0])
+        yield data[at:to]
         at = to
+
+
+def _long(data: bytes, parting: np.ndarray) -> np.ndarray:
+    """The words of one text, segment by segment."""
+    out = [_hashed(s, parting)[0] for s in _segments(data, parting)]
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def subwords(text: bytes, parting: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words of a text, and of the beginnings of those that are longer than `lengths` bytes."""
+    out = []
+    for segment in _segments(text, parting):
+        whole, first, end, sums, down = _summed(segment, parting)
+        out.append(whole)
+        for n in lengths:
+            at = first[end - first > n]
+            out.append(mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n), 11))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

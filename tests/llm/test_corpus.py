@@ -383,6 +383,47 @@ def test_toxicity(spark, none):
     assert toxicity.not_toxic(none, marks).count() == 0
 
 
+def test_risk_is_the_non_negative_one_and_its_slope():
+    rng = np.random.default_rng(1)
+    z = rng.standard_normal(40)
+    positive, drawn = np.arange(40) < 15, np.arange(40) >= 10  # five texts are both
+    z += np.where(positive, 3, -3)
+    for prior in (0.1, 0.9):  # with the second the bracket is negative
+        loss = lambda x: np.log1p(np.exp(x))
+
+        def bracket(z, prior=prior):
+            return loss(z[drawn]).mean() - prior * loss(z[positive]).mean()
+
+        def brute(z, prior=prior):
+            return prior * loss(-z[positive]).mean() + max(0.0, bracket(z))
+
+        value, slope = toxicity.risk(z, positive, drawn, prior)
+        assert abs(value - brute(z)) < 1e-12 and (bracket(z) < 0) == (prior == 0.9)
+        of = brute if bracket(z) >= 0 else lambda z: -bracket(z)
+        for i in range(40):
+            e = np.zeros(40)
+            e[i] = 1e-6
+            assert abs((of(z + e) - of(z - e)) / 2e-6 - slope[i]) < 1e-6
+
+
+def test_toxic_stems_that_take_many_forms(spark):
+    """No toxic word comes twice, but their beginnings do; the same rows more than once, one without id, clashing columns."""
+    r = random.Random(7)
+    rows = [(i, prose(60, 7000 + i) + (f" grubl{r.randrange(10**6)} grubl{r.randrange(10**6)}" if i % 6 == 0 else ""), "f") for i in range(900)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "grubl1 grubl2", "n")], "doc_id long, text string, features string")
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 900)], "doc_id long, toxic int")
+    got = toxicity.scored(docs, toxicity.classifier(docs, marks)).collect()
+    assert len(got) == 902 and all((x.score >= 0.5) == ("grubl" in x.text) for x in got)
+
+
+def test_beginnings_of_words():
+    text = "abc abcdef ab-abcdeX ünïcode".encode()
+    whole = next(texthash.words([text], texthash.NOT_WORD)).tolist()
+    got = texthash.subwords(text, texthash.NOT_WORD, (5,)).tolist()
+    assert got[: len(whole)] == whole and len(got) == len(whole) + 3 and got[len(whole)] == got[len(whole) + 1] != got[len(whole) + 2]
+    assert not len(texthash.subwords(b"", texthash.NOT_WORD, (5,)))
+
+
 # --- substring dedup
 
 
