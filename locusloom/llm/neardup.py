@@ -14,7 +14,9 @@ thousands are near copies of one text. Members that have not been a centre and a
 components go to an exact difference join: with D(u) the items in which u and the last centre
 differ, u and v differ in |D(u)| + |D(v)| - 2 |D(u) & D(v)| items. Two members that aren't both linked
 with the centre can thus be linked only if their differences share a stated number of items, so
-each needs to be looked up only under its rarest differences (prefix filter). No link between
+each needs to be looked up only under its rarest differences (prefix filter). For this join all buckets whose centres
+are in one component get one centre of that component, so a member is looked at once a family, not once a bucket; its
+links with that centre follow from the number of its differences. No link between
 components is lost, and the work follows the differences, not the pairs.
 
 Before the stars, items that a single set holds prune: two sets share no more than either has besides its
@@ -153,8 +155,18 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         centres = centres.select("key", "c")
         left = state.join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "most").join(ends, "rep", "left")
         rank = F.least(F.coalesce("deg", F.lit(0)), F.lit(1 << 30))
-    last = _open(left, labels, rank, 2).join(centres, "key").select("c", "rep", "comp").distinct()
-    return _joined_components(labels, common.stored(_confirmed(_differing(last, sets, percent), sets, percent), "links"))
+    last = _centred(_open(left, labels, rank, 2).join(centres, "key").select("c", "rep", "comp").distinct(), labels)
+    near, meeting = _differing(last, sets, percent)
+    return _joined_components(labels, common.stored(near.unionAll(_confirmed(meeting, sets, percent)), "links"))
+
+
+def _centred(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (c, rep, comp) of buckets under their centre c, with one centre for all buckets whose centres are in one
+    component: the one of most members. So a member of many buckets of one family is looked at once."""
+    sizes = members.groupBy("c").agg(F.count("*").alias("m")).join(labels.select(F.col("rep").alias("c"), F.col("comp").alias("of")), "c")
+    one = sizes.groupBy("of").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("to"))
+    moved = sizes.join(one, "of").select("c", "to")
+    return common.stored(members.join(moved, "c").select(F.col("to").alias("c"), "rep", "comp").distinct(), "centred")
 
 
 def _open(members: DataFrame, labels: DataFrame, rank: F.Column, step: int) -> DataFrame:
@@ -165,13 +177,16 @@ def _open(members: DataFrame, labels: DataFrame, rank: F.Column, step: int) -> D
     return common.stored(state.join(several, "key"), "buckets")
 
 
-def _differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (c, rep, comp) under one centre c whose rarest differences from c meet; all
-    that can be linked, but for those in one component."""
+def _differing(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of members (c, rep, comp) under one centre c: the links (a, b) with the centre, and the pairs (a, b) whose rarest
+    differences from c meet: all that can be linked, but for those in one component and those both linked with c."""
     up, down = 100 + percent, 100 - percent
     near = members.join(sets.select("rep", F.col("items").alias("t")), "rep").join(sets.select(F.col("rep").alias("c"), F.col("items").alias("s")), "c")
-    rows = near.select("c", "rep", "comp", F.size("t").alias("n"), F.concat(F.array_except("t", "s"), F.array_except("s", "t")).alias("diff"))
-    items = rows.select("c", "rep", "comp", "n", F.size("diff").alias("d"), F.explode("diff").alias("item"))
+    rows = near.select("c", "rep", "comp", F.size("t").alias("n"), F.size("s").alias("m"), F.concat(F.array_except("t", "s"), F.array_except("s", "t")).alias("diff"))
+    rows = common.stored(rows.withColumn("d", F.size("diff")), "differing")
+    # two sets are linked if up * differences <= down * (size + size)
+    linked = rows.where(f"rep <> c AND {up} * d <= {down} * (n + m)").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    items = rows.select("c", "rep", "comp", "n", "d", F.explode("diff").alias("item"))
     again = items.groupBy("c", "item").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("c", "rep", "n", "d")
     # differences that no other member has come first; they needn't be looked up, but count as places
@@ -180,7 +195,7 @@ def _differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = placed.alias("x"), placed.alias("y")
     share = f"(({up} * (x.d + y.d) - {down} * (x.n + y.n) + {2 * up - 1}) div {2 * up})"
     meet = f"x.c = y.c AND x.item = y.item AND x.rep < y.rep AND x.comp <> y.comp AND {share} >= 1 AND x.place <= x.d - {share} + 1 AND y.place <= y.d - {share} + 1"
-    return x.join(y, F.expr(meet)).selectExpr("x.rep AS a", "y.rep AS b").distinct()
+    return linked, x.join(y, F.expr(meet)).selectExpr("x.rep AS a", "y.rep AS b").distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
