@@ -3,15 +3,20 @@
 A gear hash rolls over the bytes of a text; its upper bits see the last 16 bytes. A chunk ends after a
 white space where the hash falls under a quarter of its range, so chunks hold 4 words on average,
 and the same passage gets the same chunks wherever it stands and whatever was inserted before it.
-A chunk without white space ends after MAX_BYTES at a character's start. Chunks are compared by
+A chunk of more than WIDE bytes, as in scripts without spaces or in encoded data, is cut further: where more than LONG bytes
+have no white space, after a character where
+the hash falls under a sixteenth of its range (NARROW bytes apart at least), and after MAX_BYTES at last.
+Chunks are compared by
 digest (without surrounding white space). A chunk that an earlier document (smaller id) holds too is
 repeated there; neighbouring repeated chunks join to runs (each chunk's span reaches over the white space up to
 the next one, so white space alone parts no run), and runs of MIN_WORDS words or more are
-reported, and cut by `without_repeats`. A passage of 50 words holds such a run but for some 2 in 1000;
+reported, and cut by `without_repeats`. Where a chunk has fewer words than one for each WORD_BYTES bytes other than white space, that number counts
+instead, so the measure works without spaces. A passage of 50 words holds such a run but for some 2 in 1000;
 shorter runs are everyday phrases and stay.
 
 Only counts per digest decide: no document meets another, and per digest only the smallest and largest
-id are kept, so a passage that a third of all documents share costs one row per task.
+id are kept, so a passage that a third of all documents share costs one row per task. The owners of the most frequent
+digests (at most HEAVY, by their share of all repeated chunks) are broadcast, and their chunks are dealt out evenly.
 
 Defined results: null and empty texts have no chunks; repeats within one document stay; rows that repeat
 under one id are no repeats of each other; rows without id take no part and stay as they are; empty
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common, texthash
 
 MIN_WORDS, MAX_BYTES, ONE_IN = 20, 1024, 4
+WIDE, LONG, NARROW, NARROW_ONE_IN, WORD_BYTES = 256, 64, 16, 16, 16
+HEAVY = 1 << 16
 _GEAR = np.random.default_rng(9).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: A span is one long: its first byte, its length (12 bits), its words (10 bits).
 _LENGTH_BITS, _WORD_BITS = 12, 10
@@ -48,22 +55,37 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def chunk_ends(data: bytes) -> np.ndarray:
     a = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(texthash.SPACES[a] & (gear(a) < (1 << 16) // ONE_IN)) + 1
+    h = gear(a)
+    ends = np.flatnonzero(texthash.SPACES[a] & (h < (1 << 16) // ONE_IN)) + 1
     ends = np.append(ends, len(a)) if not len(ends) or ends[-1] < len(a) else ends
-    wide = np.flatnonzero(np.diff(ends, prepend=0) > MAX_BYTES)
+    wide = np.flatnonzero(np.diff(ends, prepend=0) > WIDE)
     if len(wide):
-        more = []
-        for k in wide:
-            at, end = int(ends[k - 1]) if k else 0, int(ends[k])
-            while end - at > MAX_BYTES:
-                at += MAX_BYTES
-                while a[at] & 0xC0 == 0x80:
-                    at -= 1
-                more.append(at)
-        ends = np.unique(np.concatenate((ends, more))).astype(np.int64)
+        whole = np.append(a[1:] & 0xC0 != 0x80, True)  # a character ends here
+        parting = np.flatnonzero(np.append(texthash.SPACES[a], True))
+        run = np.diff(parting, prepend=-1)  # bytes without white space, and the one that ends them
+        spots = np.flatnonzero(whole & (h < (1 << 16) // NARROW_ONE_IN) & (np.repeat(run, run)[: len(a)] > LONG)) + 1
+        more = [_narrowed(a, spots, int(ends[k - 1]) if k else 0, int(ends[k])) for k in wide]
+        ends = np.unique(np.concatenate((ends, *more))).astype(np.int64)
     return ends
 
 
+def _narrowed(a: np.ndarray, spots: np.ndarray, at: int, end: int) -> list[int]:
+    """Further ends between two: the next spot NARROW bytes on, or after MAX_BYTES."""
+    out = []
+    while end - at > NARROW:
+        k = np.searchsorted(spots, at + NARROW)
+        to = int(spots[k]) if k < len(spots) else end
+        if to - at > MAX_BYTES:
+            to = at + MAX_BYTES
+            while a[to] & 0xC0 == 0x80:
+                to -= 1
+        if to >= end:
+            break
+        out.append(to)
+        at = to
+    return out
+
+
 def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Digests and packed spans of the chunks that hold a word, each up to the next such chunk's start. A span too
     long for its bits (by white space) goes on in further ones with the same digest and no words."""
@@ -75,8 +97,9 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     inside = ~texthash.SPACES[np.frombuffer(data, np.uint8)]
     begun = np.cumsum(inside & ~np.append(False, inside[:-1]))
     n = np.diff(begun[ends - 1], prepend=0)
-    full = inside[starts] | (n > 0)
-    starts, ends, n = starts[full], ends[full], n[full]
+    solid = np.diff(np.cumsum(inside)[ends - 1], prepend=0)
+    full = solid > 0
+    starts, ends, n = starts[full], ends[full], np.maximum(n, solid // WORD_BYTES)[full]
     digests = np.array([xxhash.xxh3_64_intdigest(data[s:e].strip()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
     lengths = np.append(starts[1:], len(data))[: len(starts)] - starts
     most = (1 << _LENGTH_BITS) - 1
@@ -109,9 +132,16 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.where(F.col(id_col).isNotNull()).select(doc_id, tag, F.col(text_col).alias("text"))
     # chunks are cheap to make and large to store, so both uses make them
     rows = texts.mapInArrow(_chunked, "doc_id long, tag int, digests array<long>, spans array<long>")
-    owners = rows.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner")
-    held = rows.select("doc_id", "tag", F.expr("inline(arrays_zip(digests, spans))")).toDF("doc_id", "tag", "digest", "span")
-    hits = held.join(owners, "digest").where("doc_id > owner").groupBy("doc_id", "tag", "span").agg(F.min("owner").alias("owner"))
+    owners = rows.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    owners = common.stored(owners.where("owner < last").select("digest", "owner", "n"), "owners")
+    often = max(10_000, (owners.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy = F.broadcast(owners.where(F.col("n") >= often).select("digest", F.col("owner").alias("first")))  # HEAVY rows at most
+    held = rows.select("doc_id", "tag", F.expr("inline(arrays_zip(digests, spans))")).toDF("doc_id", "tag", "digest", "span").join(heavy, "digest", "left")
+    # a chunk whose owner is known goes anywhere; should it meet another owner there, it keeps its own
+    held = held.withColumn("digest", F.expr("CASE WHEN first IS NULL THEN digest ELSE xxhash64(doc_id, span) END"))
+    light = owners.where(F.col("n") < often).select("digest", "owner")
+    hits = held.join(light, "digest", "left").select("doc_id", "tag", "span", F.coalesce("first", "owner").alias("owner"))
+    hits = hits.where("doc_id > owner").groupBy("doc_id", "tag", "span").agg(F.min("owner").alias("owner"))
     start = F.expr(f"shiftright(span, {_LENGTH_BITS + _WORD_BITS})")
     length = F.expr(f"shiftright(span, {_WORD_BITS}) & {(1 << _LENGTH_BITS) - 1}")
     hits = hits.select("doc_id", "tag", "owner", start.alias("start"), (start + length).alias("end"), F.expr(f"span & {(1 << _WORD_BITS) - 1}").alias("n"))

@@ -433,14 +433,16 @@ def test_repeats(spark, none):
     rows = [(i, t, "a", len(t or "")) for i, t in texts.items()] + [(2, texts[2], "a", 0), (None, passage, "n", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, n_chars int")
     got = chunkdedup.repeats(docs).collect()
-    assert {r.doc_id for r in got} == {2, 4, 10}
-    for r in got:
+    assert {r.doc_id for r in got} == {2, 4, 8, 10}  # 7 and 8 share 5000 letters, if no words
+    assert all(texts[8][r.start_byte : r.end_byte].strip("y") in ("", "z") and r.n_words > 200 for r in got if r.doc_id == 8)
+    for r in (r for r in got if r.doc_id != 8):
         cut = texts[r.doc_id].encode()[r.start_byte : r.end_byte].decode().strip()
         assert cut in passage and r.n_words == len(cut.split()) >= 20 and r.kept_doc_id == 1
     out = {(r.doc_id, r._id): r for r in chunkdedup.without_repeats(docs).collect()}
     assert chunkdedup.without_repeats(docs).count() == len(rows)
-    for i in (1, 3, 5, 6, 7, 8, 9):
+    for i in (1, 3, 5, 6, 7, 9):
         assert out[i, "a"].text == texts[i]
+    assert len(out[8, "a"].text) <= chunkdedup.MAX_BYTES
     assert out[None, "n"].text == passage and len(out[4, "a"].text.split()) < 40 and out[2, "a"].text.startswith(prose(33, 53)) and out[2, "a"].n_chars == len(out[2, "a"].text)
     assert chunkdedup.repeats(none).count() == 0 and chunkdedup.without_repeats(none).columns == none.columns
 
@@ -464,6 +466,64 @@ def test_repeats_over_wide_white_space(spark, parting):
     assert len(found) >= 59 and sum(found.values()) / len(found) > 40
 
 
+def brute_repeats(rows, min_words=20):
+    """By one dictionary of whole chunks."""
+    held, first = [], {}
+    for i, t in rows:
+        data, spans = (t or "").encode(), []
+        ends = chunkdedup.chunk_ends(data).tolist() if data else []
+        for s, e in zip([0, *ends], ends, strict=False):
+            if data[s:e].strip(b" \t\n\x0b\x0c\r"):
+                spans.append([s, e, data[s:e].strip(b" \t\n\x0b\x0c\r")])
+        for x, y in itertools.pairwise(spans):
+            x[1] = y[0]
+        if spans:
+            spans[-1][1] = len(data)
+        held.append((i, spans))
+        for *_, d in spans:
+            first[d] = min(i, first.get(d, i))
+    out = []
+    for i, spans in held:
+        run = []
+        for s, e, d in [*spans, (-1, -1, None)]:
+            if d is not None and first[d] < i and (not run or run[-1][1] == s):
+                run.append((s, e, d))
+                continue
+            n = sum(max(len(x.split()), len(b''.join(x.split())) // 16) for *_, x in run)
+            if n >= min_words:
+                out.append((i, run[0][0], run[-1][1], min(first[x] for *_, x in run)))
+            run = [(s, e, d)] if d is not None and first[d] < i else []
+    return sorted(out)
+
+
+def test_repeats_against_one_dictionary(spark, monkeypatch):
+    """Words, long words, Chinese characters, encoded data, wide white space, texts of up to 200 kB; one passage in a third of
+    all rows, so with so few rows that any digest counts as frequent the broadcast owners are used too."""
+    r = random.Random(12)
+    kinds = [lambda n, s: prose(n, s), lambda n, s: "".join(chr(0x4E00 + random.Random(s * 7919 + i).randrange(3000)) for i in range(3 * n)), lambda n, s: "".join(random.Random(s * 104729 + i).choice("ABCDEFGHabcdefgh01234567+/") for i in range(9 * n)), lambda n, s: "\n\n ".join(prose(5, s * 31 + i) for i in range(n // 5))]
+    shared = [k(r.randint(60, 200), 90 + i) for i, k in enumerate(kinds * 4)]
+    rows = []
+    for i in range(120):
+        k = r.choice(kinds)
+        text = k(r.randint(5, 150), 500 + i) + " " + (shared[0] if i % 3 == 0 else r.choice(shared)) + r.choice(["", " ", "，"]) + k(r.randint(5, 150), 900 + i)
+        rows.append((i, text))
+    rows += [(120, None), (121, ""), (122, prose(20000, 33) + shared[1]), (123, "漢" * 70_000), (124, "漢" * 70_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    got = sorted((x.doc_id, x.start_byte, x.end_byte, x.kept_doc_id) for x in chunkdedup.repeats(docs).collect())
+    assert got == want and len({i for i, *_ in want}) > 90
+    monkeypatch.setattr(chunkdedup, "max", lambda a, b: 20, raising=False)
+    assert sorted((x.doc_id, x.start_byte, x.end_byte, x.kept_doc_id) for x in chunkdedup.repeats(docs).collect()) == want
+
+
+@pytest.mark.parametrize("letters", ["".join(chr(0x4E00 + i) for i in range(3000)), "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/"])
+def test_chunks_without_spaces_resist_shifts(letters):
+    r = random.Random(3)
+    text = "".join(r.choice(letters) for _ in range(3000))
+    a, b = ({int(d) for d in chunkdedup.chunks(t)[0]} for t in (text, letters[7] + text))
+    assert len(a & b) > 0.9 * len(a)
+
+
 def test_chunks_resist_shifts():
     text = prose(2000, 60)
     a, b = ({int(d) for d in chunkdedup.chunks(t)[0]} for t in (text, "inserted in front " + text))
