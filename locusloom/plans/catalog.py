@@ -450,7 +450,6 @@ _DIFF = """WITH a AS (SELECT conv_id, turn, text AS x, lead(text) OVER (PARTITIO
 p AS (SELECT conv_id, turn, translate(substr(x, 1, n), ' ', '-') AS x, translate(substr(y, 1, n), ' ', '-') AS y FROM (SELECT *, least(length(x), length(y)) AS n FROM a WHERE y IS NOT NULL)),
 c AS (SELECT conv_id, turn, x, y, unnest(range(1, length(x) + 1)) AS i FROM p),
 d AS (SELECT conv_id, turn, i, substr(x, i, 1) AS r, substr(y, i, 1) AS q, i - length(regexp_replace(substr(x, 1, i - 1), '[^-]', '', 'g')) AS u FROM c)"""
-_DIFFERS = "d.r <> d.q"
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
