@@ -33,42 +33,40 @@ def revert(seq: str, labels: str) -> Column:
     return _written(seq, labels, "left(m, 1)")
 
 
-def _columns(a: str, body: str) -> Column:
-    return F.expr(f"CASE WHEN length({a}) > 0 THEN filter(transform(sequence(1, length({a})), i -> {body}), x -> x IS NOT NULL) WHEN {a} IS NOT NULL THEN array() END")
-
-
-def _at(s: str) -> str:
-    return f"substring({s}, i, 1)"
-
-
-def _ungapped(a: str) -> str:
-    """The position among the letters of a, gaps before column i left out."""
-    return f"(i - length(regexp_replace(substring({a}, 1, i - 1), '[^-]', '')))"
+def _columns(a: str, b: str, kept: str, label: str) -> Column:
+    """Labels of those columns c (c.i from 0, letters c.x and c.y) of aligned sequences that are `kept`; k is a column's
+    place among these. Each sequence is parted into letters once, so the work is linear in its length."""
+    pairs = f"zip_with(split({a}, ''), split(substring({b}, 1, length({a})), ''), (x, y) -> struct(x, coalesce(y, '') AS y))"
+    columns = f"transform({pairs}, (p, i) -> struct(i, p.x AS x, p.y AS y))"
+    found = f"filter(transform(filter({columns}, c -> {kept}), (c, k) -> {label}), t -> t IS NOT NULL)"
+    return F.expr(f"CASE WHEN length({a}) > 0 THEN {found} WHEN {a} IS NOT NULL THEN array() END")
 
 
 def diff_labels(a: str, b: str) -> Column:
     """Column-numbered differences of aligned sequences: `A12T`, `A12del`, and `-12A` for a gap in a."""
-    x, y = _at(a), _at(b)
-    return _columns(a, f"CASE WHEN {x} <> {y} THEN concat({x}, i, CASE WHEN {y} = '-' THEN 'del' ELSE {y} END) END")
+    return _columns(a, b, "c.x <> c.y", "concat(c.x, c.i + 1, CASE WHEN c.y = '-' THEN 'del' ELSE c.y END)")
+
+
+#: Where only columns with a letter of a are kept, a column's place among them is its number without gaps.
+_LETTER = "c.x <> '-'"
 
 
 def substitutions(a: str, b: str) -> Column:
-    x, y = _at(a), _at(b)
-    return _columns(a, f"CASE WHEN {x} <> {y} AND {x} <> '-' AND {y} <> '-' THEN concat({x}, {_ungapped(a)}, {y}) END")
+    return _columns(a, b, _LETTER, "CASE WHEN c.x <> c.y AND c.y <> '-' THEN concat(c.x, k + 1, c.y) END")
 
 
 def insertions(a: str, b: str) -> Column:
-    return _columns(a, f"CASE WHEN {_at(a)} = '-' AND {_at(b)} <> '-' THEN concat('ins', {_ungapped(a)}, {_at(b)}) END")
+    """Numbered by the letters of a before them, plus one: all columns before that aren't gaps."""
+    return _columns(a, b, "c.x = '-'", "CASE WHEN c.y <> '-' THEN concat('ins', c.i - k + 1, c.y) END")
 
 
 def deletions(a: str, b: str) -> Column:
-    return _columns(a, f"CASE WHEN {_at(b)} = '-' AND {_at(a)} <> '-' THEN concat('del', {_ungapped(a)}) END")
+    return _columns(a, b, _LETTER, "CASE WHEN c.y = '-' THEN concat('del', k + 1) END")
 
 
 def reference_diff(a: str, b: str) -> Column:
     """Numbered by the letters of a; columns where a has a gap are skipped; a gap in b is `D4-`."""
-    x, y = _at(a), _at(b)
-    return _columns(a, f"CASE WHEN {x} <> '-' AND {x} <> {y} THEN concat({x}, {_ungapped(a)}, {y}) END")
+    return _columns(a, b, _LETTER, "CASE WHEN c.x <> c.y THEN concat(c.x, k + 1, c.y) END")
 
 
 def _codon_table() -> str:

@@ -409,11 +409,13 @@ def sequence_grammaticality(spark: SparkSession, sf: str) -> DataFrame:
     return whole.join(narrow.withColumnRenamed("sequence_grammaticality", "n"), "seq_id").select(F.round("sequence_grammaticality", 4).alias("sequence_grammaticality"), F.round("n", 4).alias("narrow_sequence_grammaticality"))
 
 
-@query(_LP + " SELECT round(sum(a.logp), 5) AS grammaticality, round(sum(a.logp - r.logp), 5) AS relative_grammaticality, round(exp(sum(a.logp)), 12) AS probability FROM lp a JOIN lp r USING (pos) WHERE a.token = 'click' AND r.token = 'view' AND pos <= 5")
+@query(_LP + """ SELECT (pos // 5)::VARCHAR AS mutant, round(sum(a.logp), 5) AS grammaticality, round(sum(a.logp - r.logp), 5) AS relative_grammaticality, round(exp(sum(a.logp)), 12) AS probability
+FROM lp a JOIN lp r USING (pos) WHERE a.token = 'click' AND r.token = 'view' GROUP BY ALL""")
 def grammaticality(spark: SparkSession, sf: str) -> DataFrame:
-    lp = _logp(spark, sf)
-    muts = lp.where("pos <= 5").select("seq_id", "pos").distinct().withColumns({"ref": F.lit("view"), "alt": F.lit("click")})
-    return mo.grammaticality(lp, muts).select(F.round("grammaticality", 5).alias("grammaticality"), F.round("relative_grammaticality", 5).alias("relative_grammaticality"), F.round("probability", 12).alias("probability"))
+    """Every site is mutated, five neighbouring sites in one mutant, so that no probability underflows."""
+    lp = _logp(spark, sf).withColumn("seq_id", F.expr("string(pos div 5)"))
+    muts = lp.select("seq_id", "pos").distinct().withColumns({"ref": F.lit("view"), "alt": F.lit("click")})
+    return mo.grammaticality(lp, muts).select(F.col("seq_id").alias("mutant"), F.round("grammaticality", 5).alias("grammaticality"), F.round("relative_grammaticality", 5).alias("relative_grammaticality"), F.round("probability", 12).alias("probability"))
 
 
 @query(_LP + " SELECT pos, round(exp(max(logp) FILTER (token = 'view')), 6) AS reference_probability, round(exp(max(logp) FILTER (token <> 'view')), 6) AS max_other_probability FROM lp WHERE pos IN (SELECT pos FROM lp) GROUP BY pos")
@@ -446,33 +448,39 @@ def mutate_revert_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("mutant", seq.mutate("s", "m")).select("item_id", "mutant", seq.revert("mutant", "m").alias("reverted"))
 
 
-_DIFF = """WITH a AS (SELECT conv_id, turn, text AS x, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
-p AS (SELECT conv_id, turn, translate(substr(x, 1, n), ' ', '-') AS x, translate(substr(y, 1, n), ' ', '-') AS y FROM (SELECT *, least(length(x), length(y)) AS n FROM a WHERE y IS NOT NULL)),
+_DIFF = """WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS x, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
+p AS (SELECT conv_id, turn, rpad(translate(x, ' ', '-'), n, '-') AS x, rpad(translate(y, ' ', '-'), n, '-') AS y FROM (SELECT *, greatest(length(x), length(y))::INT AS n FROM a WHERE y IS NOT NULL)),
 c AS (SELECT conv_id, turn, x, y, unnest(range(1, length(x) + 1)) AS i FROM p),
-d AS (SELECT conv_id, turn, i, substr(x, i, 1) AS r, substr(y, i, 1) AS q, i - length(regexp_replace(substr(x, 1, i - 1), '[^-]', '', 'g')) AS u FROM c)"""
+l AS (SELECT conv_id, turn, i, substr(x, i, 1) AS r, substr(y, i, 1) AS q FROM c),
+d AS (SELECT *, i - count(*) FILTER (r = '-') OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM l)"""
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn beside the next, spaces as gaps, the shorter one filled up with gaps."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("x"), F.lead("text").over(w).alias("y")).where("y IS NOT NULL")
-    return c.select("conv_id", "turn", *[F.expr(f"translate(substring({k}, 1, least(length(x), length(y))), ' ', '-')").alias(k) for k in "xy"])
+    whole = F.coalesce("text", F.lit(""))
+    c = t(spark, sf, "conversations").select("conv_id", "turn", whole.alias("x"), F.lead(whole).over(w).alias("y")).where("y IS NOT NULL")
+    return c.select("conv_id", "turn", *[F.expr(f"rpad(translate({k}, ' ', '-'), greatest(length(x), length(y)), '-')").alias(k) for k in "xy"])
 
 
-@query(_DIFF + " SELECT conv_id, turn, coalesce(string_agg(r || i || CASE WHEN q = '-' THEN 'del' ELSE q END, ', ' ORDER BY i) FILTER (r <> q), '') AS labels FROM d GROUP BY conv_id, turn")
+@query(_DIFF + """, g AS (SELECT conv_id, turn, string_agg(r || i || CASE WHEN q = '-' THEN 'del' ELSE q END, ', ' ORDER BY i) FILTER (r <> q) AS labels FROM d GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(labels, '') AS labels FROM p LEFT JOIN g USING (conv_id, turn)""")
 def diff_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).where("length(x) > 0").select("conv_id", "turn", F.array_join(seq.diff_labels("x", "y"), ", ").alias("labels"))
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(seq.diff_labels("x", "y"), ", ").alias("labels"))
 
 
-@query(_DIFF + """ SELECT conv_id, turn, count(*) FILTER (r <> q AND r <> '-' AND q <> '-') AS substitutions, coalesce(string_agg('ins' || u || q, ', ' ORDER BY i) FILTER (r = '-' AND q <> '-'), '') AS insertions,
- coalesce(string_agg('del' || u, ', ' ORDER BY i) FILTER (q = '-' AND r <> '-'), '') AS deletions FROM d GROUP BY conv_id, turn""")
+@query(_DIFF + """, g AS (SELECT conv_id, turn, count(*) FILTER (r <> q AND r <> '-' AND q <> '-') AS n, string_agg('ins' || u || q, ', ' ORDER BY i) FILTER (r = '-' AND q <> '-') AS ins,
+ string_agg('del' || u, ', ' ORDER BY i) FILTER (q = '-' AND r <> '-') AS del FROM d GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(n, 0) AS substitutions, coalesce(ins, '') AS insertions, coalesce(del, '') AS deletions FROM p LEFT JOIN g USING (conv_id, turn)""")
 def indel_diff(spark: SparkSession, sf: str) -> DataFrame:
-    x = _turns(spark, sf).where("length(x) > 0")
+    x = _turns(spark, sf)
     return x.select("conv_id", "turn", F.size(seq.substitutions("x", "y")).cast("long").alias("substitutions"), F.array_join(seq.insertions("x", "y"), ", ").alias("insertions"), F.array_join(seq.deletions("x", "y"), ", ").alias("deletions"))
 
 
-@query(_DIFF + " SELECT conv_id, turn, coalesce(string_agg(r || u || q, ', ' ORDER BY i) FILTER (r <> q AND r <> '-'), '') AS labels FROM d GROUP BY conv_id, turn")
+@query(_DIFF + """, g AS (SELECT conv_id, turn, string_agg(r || u || q, ', ' ORDER BY i) FILTER (r <> q AND r <> '-') AS labels FROM d GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(labels, '') AS labels FROM p LEFT JOIN g USING (conv_id, turn)""")
 def reference_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).where("length(x) > 0").select("conv_id", "turn", F.array_join(seq.reference_diff("x", "y"), ", ").alias("labels"))
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(seq.reference_diff("x", "y"), ", ").alias("labels"))
 
 
 _NT = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
