@@ -14,8 +14,8 @@ each pair of blocks is one task row, so a list that holds a third of all vectors
 gives at most k rows a query.
 
 Defined results: null, zero or non-finite vectors, and vectors of another length than most have, take no
-part; ties go to the smaller id; rows that share the query's id aren't its candidates; rows without id take no
-part; an empty table gives no rows; other columns are ignored."""
+part; ties go to the smaller id; rows that share the query's id aren't its candidates; a query row that repeats (id and
+vector) is answered once, rows of one id and other vectors each for themselves; rows without id take no part; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, TARGET, MAX_LISTS, BLOCK, QUERIES, COLUMNS, EPSILON = 16384, 0.98, 4096, 2048, 256, 16, 3.0
+SAMPLE, TARGET, MAX_LISTS, BLOCK, QUERIES, COLUMNS, EPSILON = 16384, 0.98, 4096, 1024, 256, 16, 3.0
 
 
 def rotation(d: int) -> np.ndarray:
@@ -100,15 +101,16 @@ def _scanned(k: int):
         p = None
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                x, q = (np.array(r[v], np.float64) for v in ("vectors", "query_vectors"))
-                ids = np.array(r["ids"])
+            for ids, vectors, query_ids, query_vectors in zip(*b.columns, strict=True):  # one pair of blocks at a time
+                ids, query_ids = (v.values.to_numpy(zero_copy_only=False) for v in (ids, query_ids))
+                x, q = (_matrix(v.values) for v in (vectors, query_vectors))
                 p = rotation(x.shape[1]) if p is None else p
                 rx, rq = x @ p, q @ p
-                for i, query in enumerate(r["query_ids"]):
-                    out += [(query, v, s) for v, s in scan(q[i], x, rq[i], rx, ids, query, k)]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                for i, query in enumerate(query_ids.tolist()):
+                    tag = xxhash.xxh3_64_intdigest((q[i] + 0.0).tobytes()) - (1 << 63)
+                    out += [(query, tag, v, s) for v, s in scan(q[i], x, rq[i], rx, ids, query, k)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", "tag", "vec_id", "score"])
 
     return run
 
@@ -148,7 +150,7 @@ def search(vectors: DataFrame, is_query: F.Column, *, id_col: str = "vec_id", ve
         return spark.createDataFrame([], schema)
     d, n = sizes
     rows = rows.where(F.size("vector") == d)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    common.tune(spark)
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(SAMPLE).collect()])
     centres = fitted(sample, max(1, min(MAX_LISTS, int(n**0.5 / 2))))
     probed = probes(sample, centres, k)
@@ -157,12 +159,11 @@ def search(vectors: DataFrame, is_query: F.Column, *, id_col: str = "vec_id", ve
     for r in indexed.groupBy("list").count().collect():  # a row for each list at most
         sizes[r[0]] = r[1]
     own = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one id aren't each other's candidates
-    asked = rows.where("_query").select("vec_id", "vector").mapInArrow(_assigned(centres, probed, sizes, k + own), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
+    asked = rows.where("_query").select("vec_id", "vector").distinct().mapInArrow(_assigned(centres, probed, sizes, k + own), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.explode("lists").alias("list"))
     pairs = _blocks(indexed, BLOCK, "ids", "vectors").join(_blocks(asked, QUERIES, "query_ids", "query_vectors"), "list")
     pairs = pairs.select("ids", "vectors", "query_ids", "query_vectors").repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = pairs.mapInArrow(_scanned(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = pairs.mapInArrow(_scanned(k), "query_id long, tag long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "tag").orderBy("score", "vec_id")  # tag: which vector, if an id has several
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

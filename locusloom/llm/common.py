@@ -21,17 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the Arrow batches that hold whole texts or blocks of vectors. Spark reads the setting when a plan runs, so it
+    must stay in the session; a smaller one of the caller's is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else on a local master (in
+    tests) one of our own. Elsewhere a folder of one machine would lose data, so it is an error."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     ctx = spark.sparkContext._jsc.sc()
     if ctx.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="locusloom-"))
     return ctx.getCheckpointDir().get().rstrip("/")
 

@@ -54,11 +54,10 @@ def _ordinals(forms: DataFrame, slots: DataFrame) -> DataFrame | None:
     return texts.join(clash, HASH).select(*HASH, "form", (F.row_number().over(order) - 1).alias("ordinal"))
 
 
-def _rendered(ordinal: F.Column | None = None) -> F.Column:
-    parts = [F.lpad(F.lower(F.hex("h1")), 16, "0"), F.lpad(F.lower(F.hex("h2")), 16, "0"), F.lower(F.hex("size"))]
-    if ordinal is not None:
-        parts.append(F.when(ordinal > 0, ordinal.cast("string")))  # concat_ws leaves nulls out
-    return F.concat_ws("-", F.concat(parts[0], parts[1]), *parts[2:])
+def _rendered(ordinal: F.Column, hashes: list[F.Column]) -> F.Column:
+    h1, h2, size = hashes
+    words = F.concat(F.lpad(F.lower(F.hex(h1)), 16, "0"), F.lpad(F.lower(F.hex(h2)), 16, "0"))
+    return F.concat_ws("-", words, F.lower(F.hex(size)), F.when(ordinal > 0, ordinal.cast("string")))  # concat_ws leaves nulls out
 
 
 def fingerprints(rows: DataFrame, text_cols: dict[str, str], compared: Callable[[DataFrame, DataFrame], DataFrame] | None = None, seen_twice: tuple[str, ...] = ()) -> DataFrame:
@@ -68,19 +67,21 @@ def fingerprints(rows: DataFrame, text_cols: dict[str, str], compared: Callable[
     hashed has a struct of HASH for each new column, slots those of hashes that occur more than once. New
     columns in seen_twice repeat texts of others and don't count as copies."""
     kept = [c for c in rows.columns if c not in text_cols and c not in text_cols.values()]
-    forms = rows.select(*kept, *[canonical(F.col(c)).alias(f"_form_{k}") for k, c in enumerate(text_cols)])
     names = list(text_cols.values())
-    hashed = forms.select(*kept, *[F.struct(*_hash(F.col(f"_form_{k}"))).alias(n) for k, n in enumerate(names)])
+    own = [common.fresh(rows, f"_form_{k}") for k in range(len(names))]
+    forms = rows.select(*kept, *[canonical(F.col(c)).alias(o) for o, c in zip(own, text_cols, strict=True)])
+    hashed = forms.select(*kept, *[F.struct(*_hash(F.col(o))).alias(n) for o, n in zip(own, names, strict=True)])
     hashed = common.stored(hashed, "fingerprints")
     slots = shared_slots(hashed.select(F.explode(F.array(*[n for n in names if n not in seen_twice])).alias("h")).select("h.*"))
-    one = compared(hashed, slots) if compared else forms.select(F.explode(F.array(*[f"_form_{k}" for k in range(len(names))])).alias("form"))
+    one = compared(hashed, slots) if compared else forms.select(F.explode(F.array(*own)).alias("form"))
     clashing = _ordinals(one, slots)
     if clashing is None:
         return hashed.select(*kept, *[_of_struct(n) for n in names])
     out = forms
-    for k, n in enumerate(names):  # equal hashes of different texts: never seen but in tests with a weakened hash
-        own = clashing.select(*[F.col(c) for c in HASH], F.col("form").alias(f"_form_{k}"), "ordinal")
-        out = out.withColumns(dict(zip(HASH, _hash(F.col(f"_form_{k}")), strict=True))).join(own, [*HASH, f"_form_{k}"], "left").withColumn(n, _rendered(F.col("ordinal"))).drop(*HASH, "ordinal")
+    for o, n in zip(own, names, strict=True):  # equal hashes of different texts: never seen but in tests with a weakened hash
+        at = common.fresh(out, "_ordinal")
+        out = out.join(clashing.select(F.col("form").alias(o), F.col("ordinal").alias(at)), o, "left")
+        out = out.withColumn(n, _rendered(F.col(at), _hash(F.col(o)))).drop(at)
     return out.select(*kept, *names)
 
 

@@ -31,8 +31,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def parsed(rows: DataFrame, url_col: str) -> DataFrame:
     """rows with host and path."""
     rest = F.expr(f"CASE WHEN instr(`{url_col}`, '://') > 0 THEN substring(`{url_col}`, instr(`{url_col}`, '://') + 3) ELSE '' END")
-    found = rows.withColumn("_rest", rest)
-    return found.withColumns({"host": F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), _UPPER, _LOWER), "path": F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1)}).drop("_rest")
+    return rows.withColumns({"host": F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _LOWER), "path": F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)})
 
 
 def forms(urls: DataFrame, lengths: list[int]) -> DataFrame:
@@ -61,16 +60,17 @@ def judged(rows: DataFrame, entries: DataFrame, *, url_col: str = "url") -> Data
     """rows with host, path, rule (the longest that fits, or null), listed (a listed entry covers it) and
     verdict. entries: form, kind ('rule' or 'listed'), verdict."""
     found = parsed(rows.drop("host", "path", "rule", "listed", "verdict"), url_col)
+    ruled = common.fresh(found, "_verdict")
     lengths = sorted(r[0] for r in entries.select(F.length(F.regexp_extract("form", "^[^/]*(.*)$", 1))).distinct().collect())  # no more than a path's length
     words, blocks = bloom(entries)
     looked = _placed(forms(found.select("host", "path").distinct(), lengths), blocks).join(F.broadcast(words), "block")
     possible = looked.where(" AND ".join(f"(w{i} & b{i}) = b{i}" for i in range(8))).select("host", "path", "form")
     exact = possible.join(entries, "form")
     best = exact.groupBy("host", "path").agg(
-        F.max_by("form", F.when(F.col("kind") == "rule", F.length("form"))).alias("rule"), F.max_by("verdict", F.when(F.col("kind") == "rule", F.length("form"))).alias("_verdict"), F.max(F.col("kind") == "listed").alias("listed")
+        F.max_by("form", F.when(F.col("kind") == "rule", F.length("form"))).alias("rule"), F.max_by("verdict", F.when(F.col("kind") == "rule", F.length("form"))).alias(ruled), F.max(F.col("kind") == "listed").alias("listed")
     )
     out = found.join(best, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return out.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_verdict")
+    return out.withColumn("verdict", F.coalesce(ruled, F.when(F.col("listed"), "block").otherwise("allow"))).drop(ruled)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

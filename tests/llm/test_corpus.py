@@ -133,8 +133,10 @@ def test_fingerprint_query(spark, tmp_path, docs):
 
 def test_fingerprints_tell_texts_of_one_hash_apart(spark, monkeypatch, none):
     monkeypatch.setattr(fingerprints, "_hash", lambda form: [(F.length(form) * 0).cast("long").alias("h1"), (F.length(form) * 0).cast("long").alias("h2"), (F.length(form) * 0).cast("long").alias("size")])
-    df = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b"), (4, None)], "k int, t string")
-    got = {r.k: r.f for r in fingerprints.fingerprints(df, {"t": "f"}).collect()}
+    df = spark.createDataFrame([(1, "a", "x", 7), (2, "A ", "x", 7), (3, "b", "x", 7), (4, None, "x", 7)], "k int, t string, _form_0 string, h1 int")
+    out = fingerprints.fingerprints(df, {"t": "f"}).collect()
+    assert all((r._form_0, r.h1) == ("x", 7) for r in out)
+    got = {r.k: r.f for r in out}
     assert got[1] == got[2] and len(set(got.values())) == 3
     assert fingerprints.fingerprints(none, {"text": "f"}).count() == 0
 
@@ -173,10 +175,12 @@ def test_patience():
 
 def test_urls(spark):
     urls = [None, "", "no host", "http://X.example.NET/en/a?b", "http://example.net", "https://a.org/fr/", "http://spam-farm.example.org/x", "http://evilnet/", "http://a.example.com/de/#x", "ftp://example.com?x://y/de/"]
-    rows = [(i, u, "taken", "rule") for i, u in enumerate(urls)] + [(3, urls[3], "", "")]
+    urls.append("http://" + "a." * 300 + "example.org/" + "p/" * 20_000)
+    rows = [(i, u, "taken", "rule", "v", "r") for i, u in enumerate(urls)] + [(3, urls[3], "", "", "v", "r")]
     entries = spark.createDataFrame([(f, "rule", v) for f, v in urlfilter.RULES.items()] + [(f, "listed", "block") for f in urlfilter.LISTED], "form string, kind string, verdict string")
-    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, _verdict string, _rest string")
     got = urlfilter.judged(df, entries)
+    assert got.where("_verdict = 'v' AND _rest = 'r'").count() == len(rows)
 
     def brute(url):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -345,6 +349,26 @@ def test_neighbours(spark):
     assert len(few) == 3 and ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df.where("vec_id >= 5000"), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_of_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[100].tolist()), (200, x[0].tolist()), (57, x[57].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    every = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    for q, vectors in {100: [x[100]], 200: [x[200], x[0]], 300: [x[300]]}.items():
+        want = []
+        for v in vectors:
+            d = np.sqrt(((every - v) ** 2).sum(1))
+            d[ids == q] = np.inf
+            want += [(k + 1, int(ids[i])) for k, i in enumerate(np.lexsort((ids, d))[:10])]
+        assert len(got[q]) == len(want) and len(set(want) & {g[:2] for g in got[q]}) >= 0.7 * len(set(want))
+    assert len(got[100]) == 10 and sorted(r for r, *_ in got[200]) == sorted([*range(1, 11)] * 2)
+
+
 def test_neighbours_of_sparse_regions(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.standard_normal((2000, 8)), 100 * np.eye(8)[:4] + 0.1])  # four outliers far from all others
