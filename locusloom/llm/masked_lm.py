@@ -71,17 +71,17 @@ class Network:
     def log_prob(self, symbols: np.ndarray) -> float:
         """The sum over all words of a text."""
         padded = np.pad(symbols, WINDOW)
+        weights, ones = np.append(self.out, self.bias[None], 0), np.ones(len(self.bias), np.float32)
         total = 0.0
         for s in range(0, len(symbols), BLOCK):
             at = np.arange(s, min(len(symbols), s + BLOCK)) + WINDOW
-            z = self.hidden(padded, at) @ self.out
-            z += self.bias
+            h = self.hidden(padded, at)
+            z = np.append(h, np.ones((len(at), 1), np.float32), 1) @ weights
             own = z[np.arange(len(at)), padded[at]]
             np.exp(z, out=z)
-            total += float(own.sum(dtype=np.float64) - np.log(z.sum(1, dtype=np.float32)).sum(dtype=np.float64))
+            total += float(own.sum(dtype=np.float64) - np.log(z @ ones).sum(dtype=np.float64))
         return total
 
-
     def within(self, hashes: np.ndarray, symbols: np.ndarray) -> tuple[float, np.ndarray]:
         """The sum of log-probabilities of rare words given their symbols, as if words that aren't known had been
         counted once; and those words."""
@@ -144,19 +144,21 @@ class Trainer:
         for s in range(0, len(right), BATCH):
             x, y = near[s : s + BATCH], right[s : s + BATCH]
             h = np.tanh(sum(net.near[k][x[:, k]] for k in range(x.shape[1])))
-            z = h @ net.out + net.bias
-            z -= z.max(1, keepdims=True)
+            z = h @ net.out
+            z += net.bias
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(y)), y] -= 1
-            z /= len(y)
+            z *= 1 / (len(y) * z.sum(1, keepdims=True))
+            z[np.arange(len(y)), y] -= np.float32(1 / len(y))
             back = (z @ net.out.T) * (1 - h * h)
-            grad = np.zeros(net.near.shape, np.float32)
-            for k in range(x.shape[1]):
-                one = np.zeros((len(y), len(net.bias)), np.float32)
-                one[np.arange(len(y)), x[:, k]] = 1
-                grad[k] = one.T @ back
-            self._move("near", grad)
+            at = (x + np.arange(x.shape[1], dtype=x.dtype) * len(net.bias)).T.ravel()
+            order = np.argsort(at, kind="stable")
+            sorted_at = at[order]
+            first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
+            held = sorted_at[first]  # only embeddings that the batch holds have a gradient
+            grad = np.add.reduceat(back[order % len(y)], first, 0)
+            near_flat, squares = (v.reshape(-1, WIDTH) for v in (net.near, self.squares["near"]))
+            squares[held] += grad * grad
+            near_flat[held] -= RATE * grad / np.sqrt(squares[held])
             self._move("out", h.T @ z)
             self._move("bias", z.sum(0))
 
