@@ -158,6 +158,39 @@ def test_notices(docs, spark, none):
     assert next(r.start_word for r in got if r.doc_id == 3) == 5000 and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "license"),
+    [
+        ("Released under the BSD License", "BSD-short"), ("Released under the Apache License", "Apache-short"), ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0-long"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", "MPL-1.1"), ("Licensed under the Apache License, Version 1.1", "Apache-1.1"),
+        (licenses.NOTICES["GPL-3.0-header"] + ", or (at your option) any later version.", "GPL-3.0-header"),
+        (licenses.NOTICES["BSD-3-Clause"].replace("binary forms,", "binary forms " + " ".join(f"w{i}" for i in range(20))), "BSD-3-Clause"),
+        ("released by us in the year under some terms, the first of all: MIT, or any other license", None), ("", None),
+    ],
+)
+def test_license_names(text, license):
+    scanner = licenses.Scanner(licenses.NOTICES, deciding=licenses.DECIDING)
+    for around in ("", prose(300, 5)):
+        got = scanner.scan(f"{around} {text}. {around}")
+        assert [g[0] for g in got] == ([license] if license else [])
+        assert not license or got[0][2] == len(around.split())
+    twice = scanner.scan(f"{text} {prose(40, 6)} {text}")
+    assert [g[0] for g in twice] == ([license] * 2 if license else [])
+
+
+def test_alignment_is_the_longest_one_where_words_are_distinct():
+    for seed in range(200):
+        r = random.Random(seed)
+        a, b = (r.sample("abcdefghijklmnop", r.randint(0, 12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(licenses.aligned(a, b)) == best[-1][-1]
+
+
 def test_patience():
     for seed in range(200):
         r = random.Random(seed)
