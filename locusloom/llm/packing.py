@@ -5,9 +5,10 @@ document, goes to the smallest tier (1024, 512, 256) that holds it. The longest
 window of its tier; the gap takes the longest part that fits, mostly from shorter tiers; where none
 fits exactly, the shortest longer part is cut. So every window is full, and since tiers are powers of two
 nothing is padded. What a partition has left in the end is cut into sequences of falling powers of two.
-Sequences of one tier are dealt into step groups of STEP_TOKENS tokens each, so all steps weigh the same.
+Sequences, longest first, are dealt into step groups of STEP_TOKENS tokens: their tokens are counted over all partitions, so
+every step group but the very last weighs the same, and all but a few hold one length only.
 
-Each partition packs its own documents in one pass; at most POOL parts wait at a time. Sequence ids hold the
+Each partition packs its own documents in one pass; at most POOL parts wait at a time, each with its own ids only. Sequence ids hold the
 partition's number, so no exchange is needed, and a task that runs again on the same input gives the
 same rows.
 
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -136,12 +137,12 @@ class Packer:
             yield self.window(1 << (self.total.bit_length() - 1))
 
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, nth long"
 
 
 def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document, its place there, its ids (32 bits, little-endian), its sequence, its
-    place there, the sequence's length and step group."""
+    place there, the sequence's length, and how many sequences of that length its partition made before."""
     common.tune(docs.sparkSession)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in SCHEMA.split(", ")]
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id",
         encode, packer = _WORKER.setdefault(path, None) or tokens(path), Packer()
         _WORKER[path] = encode
         end = np.array([end_id], "<u4").tobytes()
-        held: dict[int, list] = {}  # document: id, ids, ids not yet placed
+        held: dict[int, list] = {}  # document: id, number of ids, ids from the one named next, that one, ids not yet placed
         rows: list[tuple] = []
         made, in_tier = 0, {}
 
@@ -159,14 +160,13 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id",
             nonlocal made
             size = sum(p[2] for p in sequence)
             k = in_tier[size] = in_tier.get(size, -1) + 1
-            group = (part << 40) | (size.bit_length() << 32) | (k // max(1, STEP_TOKENS // size))
             offset = 0
             for doc, start, n in sequence:
                 h = held[doc]
-                rows.append((h[0], start, n, h[1][4 * start : 4 * (start + n)], len(h[1]) // 4, (part << 32) | made, offset, size, group))
+                rows.append((h[0], start, n, h[2][4 * (start - h[3]) : 4 * (start - h[3] + n)], h[1], (part << 32) | made, offset, size, k))
                 offset += n
-                h[2] -= n
-                if not h[2]:
+                h[4] -= n
+                if not h[4]:
                     del held[doc]
             made += 1
 
@@ -179,9 +179,12 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id",
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(t or "") + end
-                held[doc] = [i, ids, len(ids) // 4]
-                for s in packer.take(doc, len(ids) // 4):
+                total = len(ids) // 4
+                held[doc] = [i, total, ids, 0, total]
+                for s in packer.take(doc, total):
                     place(s)
+                if doc in held:  # the tail waits, or what a cut has left of it; full windows are out
+                    held[doc][2:4] = ids[4 * (total - held[doc][4]) :], total - held[doc][4]
                 doc += 1
                 if len(rows) >= 2048:
                     yield ready()
@@ -193,11 +196,29 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
+def step_groups(packed: DataFrame) -> DataFrame:
+    """packed (a stored table of `pack`, with or without ids) with step_group in place of nth: the tokens of all sequences
+    before, longest first, in steps of STEP_TOKENS. Lengths are powers of two and fall, so none straddles two steps."""
+    part = F.shiftright("sequence_id", 32)
+    own = packed.where("offset = 0").groupBy(part.alias("part"), "sequence_length").agg((F.count("*") * F.col("sequence_length")).alias("own"))
+    own = common.stored(own, "tiers")  # a row for each partition and length
+    sizes = own.groupBy("sequence_length").agg(F.sum("own").alias("all"))
+    longer = Window.orderBy(F.col("sequence_length").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each length: eleven
+    base = sizes.select("sequence_length", F.coalesce(F.sum("all").over(longer), F.lit(0)).alias("base"))
+    before = Window.partitionBy("sequence_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = own.select("part", "sequence_length", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first")).join(F.broadcast(base), "sequence_length")
+    first = first.select("part", "sequence_length", (F.col("base") + F.col("first")).alias("first"))
+    at = F.col("first") + F.col("nth") * F.col("sequence_length")
+    out = packed.withColumn("part", part).join(first, ["part", "sequence_length"])
+    kept = [c for c in packed.columns if c != "nth"]
+    return out.select(*kept, F.floor(at / STEP_TOKENS).cast("long").alias("step_group"))
+
+
 def packed_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return step_groups(common.stored(out.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "packed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

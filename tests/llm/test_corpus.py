@@ -249,7 +249,12 @@ def test_packing(docs, none):
         pieces.sort(key=lambda r: r.offset)
         assert [r.offset for r in pieces] == list(itertools.accumulate([0, *(r.length for r in pieces[:-1])]))
         total = sum(r.length for r in pieces)
-        assert total <= 1024 and total & (total - 1) == 0
+        assert total <= 1024 and total & (total - 1) == 0 and {r.sequence_length for r in pieces} == {total} and len({r.step_group for r in pieces}) == 1
+    steps = {}
+    for pieces in by.values():
+        steps[pieces[0].step_group] = steps.get(pieces[0].step_group, 0) + pieces[0].sequence_length
+    assert sorted(steps) == list(range(len(steps))) and len({r.sequence_id >> 32 for r in got}) > 1
+    assert all(n == packing.STEP_TOKENS for g, n in steps.items() if g < len(steps) - 1) and len(steps) > 1
     assert packing.packed_digests(none).count() == 0
 
 
