@@ -11,11 +11,20 @@ from .relational import ranked
 
 
 def average_ranks(df: DataFrame, value: str, name: str, by: list[str] = ()) -> DataFrame:
-    """Ranks in which ties share their mean. Within groups ranks are windows over distinct values, so equal values
-    don't pile up; without groups ranges are numbered and shifted."""
+    """Ranks of a numeric column in which ties share their mean, within groups or over all rows. Counts of distinct values are
+    dealt into ranges by sampled bounds; each range of a group is summed up by itself and shifted by the ranges
+    before, so neither a large group nor the whole table meets in one task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    parts = min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    number = F.col(value).cast("double")
+    bounds = counts.agg(F.percentile_approx(number, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b <= number)) if bounds else F.lit(0)
+    counts = counts.withColumn("_range", at)
+    own = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    shift = counts.groupBy("_range", *by).agg(F.sum("_c").alias("_n")).select("_range", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    below = counts.withColumn("_own", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(shift, ["_range", *by])
+    ranks = below.select(*by, value, (F.col("_own") + F.col("_shift") + (F.col("_c") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value])
 
 
@@ -90,12 +99,16 @@ def bonferroni(df: DataFrame, p: str, predictor: str) -> DataFrame:
     return out.withColumn("significant", F.when(F.col("corrected") < 0.05, "*").otherwise(""))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: str) -> DataFrame:
-    """The false discovery rate. Tests are as many as features, so one ordered window serves."""
+def benjamini_hochberg(df: DataFrame, p: str, tie: str, block: int = 100_000) -> DataFrame:
+    """The false discovery rate. The running minimum from the end is taken within blocks of ranks, then over blocks."""
     rows = ranked(df.where(F.col(p).isNotNull()), F.col(p).asc(), tie, "_rank")
     rows = rows.join(F.broadcast(rows.agg(F.count("*").alias("_m")))).withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
-    after = Window.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("fdr", F.least(F.lit(1.0), F.min("_q").over(after))).drop("_rank", "_m", "_q")
+    rows = rows.withColumn("_block", F.floor((F.col("_rank") - 1) / block))
+    after = Window.partitionBy("_block").orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)  # a row for each block
+    blocks = rows.groupBy("_block").agg(F.min("_q").alias("_least")).select("_block", F.min("_least").over(later).alias("_later"))
+    out = rows.withColumn("_q", F.min("_q").over(after)).join(F.broadcast(blocks), "_block")
+    return out.withColumn("fdr", F.least(F.lit(1.0), "_q", "_later")).drop("_rank", "_m", "_q", "_block", "_later")
 
 
 def confusion(truth: Column, guess: Column) -> list[Column]:

@@ -56,9 +56,10 @@ WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(1,
 c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL)
 SELECT vec_id, round(sum(abs(v - m)), 4) AS centroid_l1 FROM x JOIN c USING (label, i) GROUP BY vec_id""")
 def centroid_l1(spark: SparkSession, sf: str) -> DataFrame:
-    x = t(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    c = x.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    return x.join(c, ["label", "i"]).groupBy("vec_id").agg(F.round(F.sum(F.abs(F.col("v") - F.col("m"))), 4).alias("centroid_l1"))
+    e = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))  # as long as a vector
+    return e.join(centres, "label").groupBy("vec_id").agg(F.round(F.sum(seq.l1("embedding", "centre")), 4).alias("centroid_l1"))
 
 
 @query("""
@@ -181,11 +182,8 @@ b AS (SELECT p_partkey, CASE WHEN r <= floor(n * 0.1) THEN 'top' WHEN r <= floor
 SELECT bucket, count(DISTINCT p_partkey) AS parts, count(l_partkey) AS hits FROM b LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY bucket""")
 def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = t(spark, sf, "part").select("p_partkey", "p_retailprice")
-    cuts = (("top", 0, 0.1), ("middle", 0.1, 0.25), ("rest", 0.25, 1))
-    b = None
-    for name, lo, hi in cuts:
-        one = rel.sliced(p, "p_retailprice", "p_partkey", lo, hi).select("p_partkey", F.lit(name).alias("bucket"))
-        b = one if b is None else b.unionByName(one)
+    r = rel.with_scalars(rel.ranked(p.where("p_retailprice IS NOT NULL"), F.col("p_retailprice").desc(), "p_partkey", "r"), n=F.count("*"))
+    b = r.select("p_partkey", F.expr("CASE WHEN r <= floor(n * 0.1) THEN 'top' WHEN r <= floor(n * 0.25) THEN 'middle' ELSE 'rest' END").alias("bucket"))
     hits = t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("h"))
     return b.join(hits, "p_partkey", "left").groupBy("bucket").agg(F.count("*").alias("parts"), F.coalesce(F.sum("h"), F.lit(0)).alias("hits"))
 

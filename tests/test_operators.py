@@ -73,3 +73,37 @@ def test_spearman_ties(spark):
     df = spark.createDataFrame([("g", 1.0, 1.0), ("g", 1.0, 2.0), ("g", 3.0, 3.0), ("g", None, 9.0)], "g string, x double, y double")
     r = st.spearman(df, "x", "y", ["g"]).first()
     assert r.n == 3 and abs(r.rho - math.sqrt(3) / 2) < 1e-9
+
+
+def test_average_ranks_over_ranges(spark):
+    import random
+
+    from locusloom.operators import statistics as st
+
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.choice([None, float("nan"), *(x / 7 for x in range(40))])) for _ in range(600)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, g string, v double")
+    for by in ([], ["g"]):
+        got = {x.i: x.rank for x in st.average_ranks(df, "v", "rank", by).collect()}
+        for i, (g, v) in enumerate(rows):
+            key = lambda x: (x != x, x if x == x else 0)
+            others = [key(w) for h, w in rows if w is not None and (not by or h == g)]
+            assert v is None and i not in got or got[i] == sum(o < key(v) for o in others) + (sum(o == key(v) for o in others) + 1) / 2
+    assert st.average_ranks(df.limit(0), "v", "rank").count() == 0
+
+
+def test_false_discovery_over_blocks(spark):
+    import random
+
+    from locusloom.operators import statistics as st
+
+    r = random.Random(4)
+    ps = [r.random() ** 3 for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(ps)), "i int, p double")
+    got = {x.i: x.fdr for x in st.benjamini_hochberg(df, "p", "i", block=17).collect()}
+    order = sorted(range(300), key=lambda i: (ps[i], i))
+    best, want = 1.0, {}
+    for k in range(300, 0, -1):
+        best = min(best, ps[order[k - 1]] * 300 / k)
+        want[order[k - 1]] = best
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
