@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.ORACLE}
+    return {"op3_url_filter": urlfilter.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE}
