@@ -107,3 +107,12 @@ def test_false_discovery_over_blocks(spark):
         best = min(best, ps[order[k - 1]] * 300 / k)
         want[order[k - 1]] = best
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_maps_to_flat_tables(spark):
+    from locusloom.operators import tables
+
+    df = spark.createDataFrame([("r", {"A1K": {"x": 1.0, "y": 2.0}, "A1R": {"y": None}}, {"A1K": [1.0, 2.0]}), ("s", {}, None)], "region string, scores map<string, map<string, double>>, vectors map<string, array<double>>")
+    got = sorted(map(tuple, tables.flat_scores(df, "scores", ["y", "x", "z"], ["region"]).collect()))
+    assert got == [("r", "A1K", 2.0, 1.0, None), ("r", "A1R", None, None, None)]
+    assert [tuple(r) for r in tables.representation_table(df, "vectors", ["region"]).collect()] == [("r", "A1K", [1.0, 2.0])]
