@@ -56,6 +56,33 @@ def test_genbank(spark, tmp_path):
     assert rows == [("CDS", "g", "long name", 0, 0, 9, 1), ("CDS", "g", "long name", 1, 11, 20, 1), ("mat_peptide", None, "p", 0, 0, 6, -1)]
 
 
+def test_strands_of_parts(spark, tmp_path):
+    for i, (where, want) in enumerate({
+        "join(complement(1..6),10..15)": [(0, 6, -1), (9, 15, 1)],
+        "complement(join(1..6,10..15))": [(9, 15, -1), (0, 6, -1)],
+        "order(1..6,complement(<10..>15))": [(0, 6, 1), (9, 15, -1)],
+    }.items()):
+        (tmp_path / f"{i}.gb").write_text(GENBANK.replace("join(1..9,12..20)", where))
+        rows = tf.genbank_features(spark, str(tmp_path / f"{i}.gb")).where("type = 'CDS'").orderBy("part").collect()
+        assert [(r.start, r.end, r.strand) for r in rows] == want, where
+
+
+def test_models_of_several_files(spark, tmp_path):
+    atom = PDB.split("\n")[1]
+    (tmp_path / "a.pdb").write_text(f"MODEL        1\n{atom}\nENDMDL\nMODEL        2\n{atom}\n{atom.replace('   1   ', '   2   ')}\nENDMDL\n")
+    (tmp_path / "b.pdb").write_text(PDB)
+    atoms = tf.pdb_atoms(spark, str(tmp_path))
+    assert {(r.file[-5:], r.model): r["count"] for r in atoms.groupBy("file", "model").count().collect()} == {("a.pdb", 1): 1, ("a.pdb", 2): 2, ("b.pdb", 1): 5}
+    got = {(r.file[-5:], r.chain): (r.sequence, r.monomer) for r in tf.chain_sequences(tf.pdb_residues(atoms)).collect()}
+    assert got == {("a.pdb", "A"): ("M", True), ("b.pdb", "A"): ("MK", False), ("b.pdb", "B"): ("K", False)}
+
+
+def test_inferred_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",x,y\n0,1,NaN\n1,2,0.5\n")
+    df = tf.delimited(spark, str(tmp_path / "a.csv"), drop_index=True)
+    assert df.dtypes == [("x", "int"), ("y", "double")] and [tuple(r) for r in df.orderBy("x").collect()] == [(1, None), (2, 0.5)]
+
+
 def test_streaming_means(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 10:00:00", 1.0), ("2024-01-02 10:00:00", 3.0)], "ts string, value double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts string, value double").parquet(str(tmp_path / "in"))
