@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from locusloom.plans import catalog, tables  # noqa: F401  (tables adds its queries)
+from locusloom.plans import catalog, composites, tables  # noqa: F401  (the others add their queries)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
