@@ -141,17 +141,20 @@ class Trainer:
         near, right = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
         self.waiting, self.n = [], 0
         net = self.net
+        places = (np.arange(len(_OFFSETS), dtype=near.dtype) * len(net.bias))[:, None]
+        ones = np.ones(len(net.bias), np.float32)
         for s in range(0, len(right), BATCH):
             x, y = near[s : s + BATCH], right[s : s + BATCH]
-            h = np.tanh(sum(net.near[k][x[:, k]] for k in range(x.shape[1])))
-            z = h @ net.out
-            z += net.bias
+            at = (x.T + places).ravel()
+            h = np.tanh(net.near.reshape(-1, WIDTH)[at].reshape(-1, len(y), WIDTH).sum(0))
+            wide = np.append(h, np.ones((len(y), 1), np.float32), 1)  # the last column stands for the bias
+            z = wide @ np.append(net.out, net.bias[None], 0)
             np.exp(z, out=z)
-            z *= 1 / (len(y) * z.sum(1, keepdims=True))
-            z[np.arange(len(y)), y] -= np.float32(1 / len(y))
-            back = (z @ net.out.T) * (1 - h * h)
-            at = (x + np.arange(x.shape[1], dtype=x.dtype) * len(net.bias)).T.ravel()
-            order = np.argsort(at, kind="stable")
+            total = z @ ones
+            z[np.arange(len(y)), y] -= total
+            scale = (1 / (len(y) * total))[:, None]  # z times scale is the gradient of the scores
+            back = (z @ net.out.T) * (scale * (1 - h * h))
+            order = np.argsort(at.astype(np.int16) if len(_OFFSETS) * len(net.bias) < 1 << 15 else at, kind="stable")  # 16 bits sort by radix
             sorted_at = at[order]
             first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
             held = sorted_at[first]  # only embeddings that the batch holds have a gradient
@@ -159,8 +162,9 @@ class Trainer:
             near_flat, squares = (v.reshape(-1, WIDTH) for v in (net.near, self.squares["near"]))
             squares[held] += grad * grad
             near_flat[held] -= RATE * grad / np.sqrt(squares[held])
-            self._move("out", h.T @ z)
-            self._move("bias", z.sum(0))
+            grad = (wide * scale).T @ z
+            self._move("out", grad[:-1])
+            self._move("bias", grad[-1])
 
 
 def _words(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
