@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seq
-from ..operators import regions, scoring, surveillance
-from .catalog import _NT, QUERIES, SQL, query, t
+from ..operators import regions, scoring, statistics, surveillance
+from .catalog import _NT, _PLACED, QUERIES, SQL, _part_scores, query, t
 
 AA = seq.AMINO_ACIDS
 TOKENS = [*AA, "X", "-", "<mask>", "<unk>"]
@@ -257,4 +257,77 @@ def sliding_deviation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "sliding_semantic_score", "sliding_sequence_grammaticality")
 
 
+_SPLIT = _PLACED.replace("SELECT *, 'spike' AS region FROM l UNION ALL SELECT *, 'rbd' FROM l WHERE pos BETWEEN 319 AND 541", "SELECT *, CASE WHEN pos BETWEEN 319 AND 541 THEN 'rbd' ELSE 'outwith' END AS region FROM l")
+
+
+@query(f"""WITH {_SPLIT}, m AS (SELECT DISTINCT l_partkey::VARCHAR AS label, date_trunc('month', l_shipdate)::DATE AS date FROM lineitem), d AS (SELECT DISTINCT date FROM m),
+top AS (SELECT feature, region, label, n FROM k WHERE place <= floor(n * 0.25::DOUBLE)), c AS (SELECT feature, region, date, count(*) AS c FROM top JOIN m USING (label) GROUP BY ALL),
+g AS (SELECT DISTINCT feature, region, n, date FROM top CROSS JOIN d)
+SELECT date, (sum(coalesce(c, 0)) OVER w)::BIGINT AS "count", round((sum(coalesce(c, 0)) OVER w)::DOUBLE / floor(n * 0.25::DOUBLE), 9) AS percentage, feature, region
+FROM g LEFT JOIN c USING (feature, region, date) WINDOW w AS (PARTITION BY feature, region ORDER BY date)""")
+def share_seen_inside_and_outside(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _part_scores(spark, sf)
+    months = t(spark, sf, "lineitem").selectExpr("string(l_partkey) AS mutation", "date(date_trunc('month', l_shipdate)) AS sample_date").distinct()
+    monthly = months.join(parts.selectExpr("label AS mutation", f"{surveillance.DOMAIN} AS rbd"), "mutation")
+    out = surveillance.share_seen_by_date(parts, monthly, {"price": "p", "size": "s"}, [0.25], regions=surveillance.BY_DATE_SPLIT)
+    return out.select("date", "count", F.round("percentage", 9).alias("percentage"), "feature", "region")
+
+
+_COMMON = "SELECT p_partkey::VARCHAR AS label, p_partkey * 37 % 1273 AS pos, p_retailprice::DOUBLE AS price, CASE WHEN p_size % 3 <> 0 THEN p_size::DOUBLE END AS size, CASE WHEN p_size % 5 <> 0 THEN p_size / 7.0::DOUBLE END AS inner_score FROM part"
+
+
+@query(f"""WITH x AS ({_COMMON}), s AS (SELECT * FROM x WHERE size IS NOT NULL), d AS (SELECT * FROM s WHERE inner_score IS NOT NULL AND pos BETWEEN 319 AND 541),
+l AS (SELECT label, 'price' AS feature, price AS value, 'spike' AS region FROM s UNION ALL SELECT label, 'size', size, 'spike' FROM s UNION ALL SELECT label, '0', inner_score, 'spike' FROM s WHERE inner_score IS NOT NULL
+ UNION ALL SELECT label, 'price', price, 'rbd' FROM d UNION ALL SELECT label, 'size', size, 'rbd' FROM d UNION ALL SELECT label, 'inner_score', inner_score, 'rbd' FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY feature, region ORDER BY value DESC, label) AS place, count(*) OVER (PARTITION BY feature, region) AS n FROM l),
+b AS (SELECT * FROM (VALUES (0::DOUBLE, 0.1::DOUBLE), (0.1, 0.25), (0.25, 1)) AS y(lo, hi)),
+v AS (SELECT l_partkey::VARCHAR AS label, count(*) FILTER (l_returnflag = 'A') AS c FROM lineitem GROUP BY ALL),
+f AS (SELECT DISTINCT feature, region FROM k)
+SELECT f.feature, f.region, b.hi AS proportion, 'A' AS voc, coalesce(sum(v.c), 0)::DOUBLE AS "count" FROM f CROSS JOIN b
+LEFT JOIN k ON k.feature = f.feature AND k.region = f.region AND k.place > floor(k.n * b.lo) AND k.place <= floor(k.n * b.hi) LEFT JOIN v ON v.label = k.label GROUP BY ALL""")
+def variant_counts_common(spark: SparkSession, sf: str) -> DataFrame:
+    scores = spark.sql(_COMMON.replace("::VARCHAR", "::STRING").replace("FROM part", "FROM {part}"), part=t(spark, sf, "part"))
+    lines = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("mutation"))
+    variants = lines.agg(F.count_if(F.col("l_returnflag") == "A").alias("A"))
+    return surveillance.variant_counts_common(scores, variants, ["price", "size"], ["inner_score"], ["A"])
+
+
+_SCANNED = f"""SELECT event_id AS label, user_id AS pos, substr('{AA}', (user_id % 20 + 1)::INT, 1) AS ref, substr('{AA}', (event_id % 20 + 1)::INT, 1) AS alt,
+value AS semantic_score, (event_id % 97)::DOUBLE AS grammaticality FROM events"""
+
+
+@query(f"""WITH x AS ({_SCANNED}), m AS (SELECT * FROM x WHERE ref <> alt),
+k AS (SELECT *, row_number() OVER (ORDER BY semantic_score, label) AS sr, row_number() OVER (ORDER BY grammaticality, label) AS gr FROM m),
+a AS (SELECT pos, avg(semantic_score) AS av_s, avg(grammaticality) AS av_g FROM m GROUP BY pos),
+e AS (SELECT p_partkey AS pos, p_size::DOUBLE AS entropy FROM part WHERE p_size % 4 <> 0),
+j AS (SELECT x.label, x.semantic_score, sr, gr, av_s, av_g, coalesce(entropy, avg(entropy) OVER ()) AS entropy FROM x LEFT JOIN k USING (label) LEFT JOIN a ON a.pos = x.pos LEFT JOIN e ON e.pos = x.pos),
+z AS (SELECT *, (semantic_score - avg(semantic_score) OVER ()) / stddev_samp(semantic_score) OVER () AS zs, (entropy - avg(entropy) OVER ()) / stddev_samp(entropy) OVER () AS ze FROM j)
+SELECT label, sr::INT AS semantic_rank, gr::INT AS grammatical_rank, (sr + gr)::INT AS acquisition_priority, round(av_s, 6) AS average_semantic_score, round(av_g, 6) AS average_grammaticality,
+round(entropy, 6) AS entropy, round(-ln(1 + exp(-zs)) - ln(1 + exp(-ze / 2)), 6) AS composite_score FROM z""")
+def annotation_build(spark: SparkSession, sf: str) -> DataFrame:
+    scan = spark.sql(_SCANNED.replace("FROM events", "FROM {events}"), events=t(spark, sf, "events"))
+    entropy = t(spark, sf, "part").where("p_size % 4 <> 0").selectExpr("p_partkey AS pos", "double(p_size) AS entropy")
+    out = surveillance.annotation_build(scan, [(entropy, ["pos"])], impute=["entropy"], composite={"semantic_score": 1.0, "entropy": 2.0})
+    rounded = [F.round(c, 6).alias(c) for c in ("average_semantic_score", "average_grammaticality", "entropy", "composite_score")]
+    return out.select("label", *[F.col(c).cast("int").alias(c) for c in ("semantic_rank", "grammatical_rank", "acquisition_priority")], *rounded)
+
+
+_MOMENTS = "count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, sum(a * a) - sum(a) * sum(a) / count(*) AS aa, sum(b * b) - sum(b) * sum(b) / count(*) AS bb, sum(a * b) - sum(a) * sum(b) / count(*) AS ab"
+
+
+@query(f"""WITH x AS (SELECT l_extendedprice::DOUBLE / 1000 AS y, l_quantity::DOUBLE AS a, l_linenumber::DOUBLE AS b FROM lineitem),
+m AS (SELECT {_MOMENTS}, sum(a * y) - sum(a) * sum(y) / count(*) AS ay, sum(b * y) - sum(b) * sum(y) / count(*) AS bv, sum(y * y) - sum(y) * sum(y) / count(*) AS yy FROM x),
+c AS (SELECT *, aa * bb - ab * ab AS d, (bb * ay - ab * bv) / (aa * bb - ab * ab) AS ca, (aa * bv - ab * ay) / (aa * bb - ab * ab) AS cb FROM m),
+v AS (SELECT *, (yy - ca * ay - cb * bv) / (n - 3) AS s2 FROM c),
+r AS (SELECT unnest(['const', 'a', 'b']) AS term, unnest([my - ca * ma - cb * mb, ca, cb]) AS coef,
+ unnest([sqrt(s2 * (1.0 / n + (ma * ma * bb + mb * mb * aa - 2 * ma * mb * ab) / d)), sqrt(s2 * bb / d), sqrt(s2 * aa / d)]) AS std_err FROM v)
+SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 4) AS t FROM r""")
+def ols_two_predictors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "lineitem").selectExpr("double(l_extendedprice) / 1000 AS y", "double(l_quantity) AS a", "double(l_linenumber) AS b")
+    fit = statistics.ols(rows, "y", ["a", "b"])
+    terms = zip(fit["coef"].items(), fit["se"], fit["t"], strict=True)
+    out = spark.createDataFrame([("const" if k not in ("a", "b") else k, float(v), float(se), float(x)) for (k, v), se, x in terms], "term string, coef double, std_err double, t double")
+    return out.select("term", F.round("coef", 6).alias("coef"), F.round("std_err", 6).alias("std_err"), F.round("t", 4).alias("t"))
+
+
 __all__ = ["QUERIES", "SQL"]
