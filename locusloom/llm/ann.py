@@ -1,6 +1,6 @@
 """Nearest neighbours by inverted lists with an adaptive dimension scan.
 
-Lists belong to centres fitted on a bounded sample of SAMPLE vectors (by a hash of their ids); every
+Lists belong to centres fitted on a bounded sample of SAMPLE vectors (by a hash of ids and vectors); every
 vector is indexed. A query scans the lists of its nearest centres; how many, is measured on the sample,
 so that TARGET of the sample's true neighbours are found (on all vectors recall is at least as high in
 practice, tests hold it against brute force); where these hold fewer than k other rows, it goes on to further lists
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, TARGET, MAX_LISTS, BLOCK, QUERIES, COLUMNS, EPSILON = 16384, 0.98, 4096, 1024, 256, 16, 3.0
+#: Distances that are held at once, 16 MB.
+CELLS = 1 << 21
 
 
 def rotation(d: int) -> np.ndarray:
@@ -51,8 +53,13 @@ def fitted(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    d = (centres**2).sum(1) - 2 * x @ centres.T
-    return np.argsort(d, 1, kind="stable")[:, :n]
+    """The n nearest centres of each row of x, a few rows at a time."""
+    squares, out = (centres**2).sum(1), np.empty((len(x), min(n, len(centres))), np.int64)
+    step = max(1, CELLS // len(centres))
+    for s in range(0, len(x), step):
+        d = squares - 2 * x[s : s + step] @ centres.T
+        out[s : s + step] = d.argmin(1)[:, None] if n == 1 else np.argsort(d, 1, kind="stable")[:, :n]
+    return out
 
 
 def probes(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
@@ -132,6 +139,20 @@ def _assigned(centres: np.ndarray, n: int, sizes: np.ndarray | None = None, leas
     return run
 
 
+def _sampled(rows: DataFrame, n: int) -> np.ndarray:
+    """SAMPLE of n rows, those of the least hashes. Counts of the hashes' ranges tell which rows can be among them, so that
+    few others come to the driver: a sorted limit would send it SAMPLE rows of each partition. Equal rows come as one."""
+    key = F.xxhash64("vec_id", "vector")
+    at = F.shiftright(key, 48)
+    most = (1 << 15) - 1
+    if n > SAMPLE:
+        counts = rows.groupBy(at.alias("at")).count().toArrow().sort_by("at")  # 65,536 ranges
+        most = counts["at"][int(np.searchsorted(np.cumsum(counts["count"].to_numpy()), SAMPLE))].as_py()
+    few = rows.where(at <= most).groupBy("vec_id", "vector").agg(F.count("*").alias("n")).orderBy(key, "vec_id", "vector").limit(SAMPLE).select("vector", "n").toArrow()
+    ends = np.minimum(np.cumsum(few["n"].to_numpy()), SAMPLE)
+    return np.repeat(_matrix(few["vector"].combine_chunks()), np.diff(ends, prepend=0), 0)
+
+
 def _blocks(rows: DataFrame, size: int, ids: str, vectors: str) -> DataFrame:
     """Rows of one list in blocks of about `size`."""
     parts = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / size).cast("long").alias("_n")))  # a row for each list at most
@@ -151,7 +172,7 @@ def search(vectors: DataFrame, is_query: F.Column, *, id_col: str = "vec_id", ve
     d, n = sizes
     rows = rows.where(F.size("vector") == d)
     common.tune(spark)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(SAMPLE).collect()])
+    sample = _sampled(rows.select("vec_id", "vector"), n)
     centres = fitted(sample, max(1, min(MAX_LISTS, int(n**0.5 / 2))))
     probed = probes(sample, centres, k)
     indexed = rows.select("vec_id", "vector").mapInArrow(_assigned(centres, 1), "vec_id long, vector array<double>, lists array<int>").select("vec_id", "vector", F.col("lists")[0].alias("list"))

@@ -4,6 +4,7 @@ empty tables and clashing columns."""
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -417,6 +418,46 @@ def test_neighbours_of_sparse_regions(spark, monkeypatch):
     assert {r[0]: r[1] for r in got} == dict.fromkeys(range(2000, 2004), 10)
 
 
+def test_neighbours_spare_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, centres = rng.standard_normal((4096, 4)), rng.standard_normal((1000, 4))
+    tracemalloc.start()
+    got, some = ann.nearest(x, centres, 1), ann.nearest(x[:300], centres, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = (centres**2).sum(1) - 2 * x @ centres.T
+    assert (got[:, 0] == d.argmin(1)).all() and (some == np.argsort(d[:300], 1)[:, :7]).all()
+    assert peak < 60 << 20  # all distances at once take 33 MB, and as much for each of two more
+    monkeypatch.setattr(ann, "SAMPLE", 2048)
+    values = ", ".join(f"(xxhash64(id, {k}) % 1000) / 1000D" for k in range(16))
+    df = spark.range(0, 100_000, 1, 40).selectExpr("id AS vec_id", f"array({values}) AS embedding")
+    samples = []
+
+    def fitted(sample, lists):
+        samples.append(sample)
+        raise InterruptedError
+
+    monkeypatch.setattr(ann, "fitted", fitted)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "6m")  # 2048 rows of each partition are 14 MB
+    try:
+        with pytest.raises(InterruptedError):
+            ann.search(df, F.col("vec_id") == 0)
+        assert samples[0].shape == (2048, 16)
+    finally:
+        conf.set("spark.driver.maxResultSize", "1g")
+
+
+def test_sample_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    df = spark.range(0, 6000, 1, 5).selectExpr("IF(id < 3000, 7, id) AS vec_id", "array(double(IF(id < 3000, 1, id % 50)), 2D) AS vector")
+    want = df.orderBy(F.xxhash64("vec_id", "vector"), "vec_id", "vector").limit(1000).select("vector").collect()
+    assert ann._sampled(df, 6000).tolist() == [r[0] for r in want]
+    assert sorted(ann._sampled(df.limit(50), 50).tolist()) == sorted(r.vector for r in df.limit(50).collect())
+    copies = df.where("vec_id = 7")
+    assert ann._sampled(copies, 3000).tolist() == [[1.0, 2.0]] * 1000
+
+
 # --- toxicity
 
 
