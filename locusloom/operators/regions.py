@@ -43,9 +43,9 @@ def site_batches(expanded: DataFrame) -> DataFrame:
 def on_alignment(aligned: DataFrame, logp: DataFrame) -> DataFrame:
     """Model output on alignment columns: aligned has seq_id, ref, query (with gaps), logp has seq_id, pos (of the query's
     letters), token, logp. Columns where the reference has a gap are left out; where the query has one, token and
-    logp are null."""
+    logp are null. Neither side is broadcast: Spark takes exploded rows to be as large as what they were exploded from."""
     columns = aligned.select("seq_id", "ref", "query", F.expr("explode(CASE WHEN length(ref) > 0 THEN sequence(1, length(ref)) END)").alias("column"))
     columns = columns.select("seq_id", "column", F.expr("substring(ref, column, 1)").alias("r"), F.expr("substring(query, column, 1)").alias("q"))
     run = Window.partitionBy("seq_id").orderBy("column")
     placed = columns.withColumn("pos", F.when(F.col("q") != "-", F.sum((F.col("q") != "-").cast("int")).over(run))).where("r <> '-'")
-    return placed.join(logp, ["seq_id", "pos"], "left").select("seq_id", "column", F.col("q").alias("residue"), "pos", "token", "logp")
+    return placed.join(logp.hint("merge"), ["seq_id", "pos"], "left").select("seq_id", "column", F.col("q").alias("residue"), "pos", "token", "logp")

@@ -26,6 +26,16 @@ def test_output_on_alignment(spark):
     assert got == [(1, "A", -1.0), (2, "-", None), (4, "N", -3.0), (5, "D", -4.0)]
 
 
+def test_alignment_is_never_broadcast(spark):
+    a = spark.range(50).selectExpr("string(id) AS seq_id", "'AR-ND' AS ref", "'A-KND' AS query")
+    lp = spark.range(50).selectExpr("string(id) AS seq_id", "posexplode(split('AKND', '')) AS (pos, token)", "0D AS logp").selectExpr("seq_id", "pos + 1 AS pos", "token", "logp")
+    out = regions.on_alignment(a, lp)
+    assert out.where("logp IS NOT NULL").count() == 150
+    plan = out._jdf.queryExecution()
+    out.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in plan.executedPlan().toString() and "SortMergeJoin" in plan.executedPlan().toString()
+
+
 def test_cross_validation(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((150, 3))
