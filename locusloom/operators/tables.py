@@ -68,11 +68,24 @@ def rescaled_reverse(df: DataFrame, value: str, name: str) -> DataFrame:
     return rows.withColumn(name, 1 - F.try_divide(F.col(value) + F.col("_lo"), F.col("_hi") + F.col("_lo"))).drop("_lo", "_hi")
 
 
-def suffix_join(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Inner join in which other columns of both sides get suffixes. Keys needn't be unique: rows multiply."""
+def suffix_join(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y"), cell: int = 1 << 22) -> DataFrame:
+    """Inner join in which other columns of both sides get suffixes. Keys needn't be unique: rows multiply.
+
+    A key that gives more than `cell` rows is cut into cells of about that many: its rows of the larger side are dealt out
+    by their hash, those of the smaller side go to each cell. Cells are dealt over all shuffle partitions, which Spark
+    neither merges nor avoids by a broadcast, since it judges by the rows that come in."""
     both = {c for c in left.columns if c in right.columns and c not in on}
     sides = [df.withColumnsRenamed({c: c + s for c in both}) for df, s in zip((left, right), suffixes, strict=True)]
-    return sides[0].join(sides[1], on)
+    counts = [df.groupBy(*on).agg(F.count("*").alias(n)) for df, n in zip(sides, ("_a", "_b"), strict=True)]
+    rows = F.col("_a").cast("double") * F.col("_b")
+    cut = counts[0].join(counts[1], on).where(rows > cell).select(*on, F.ceil(rows / cell).cast("long").alias("_cells"), (F.col("_a") <= F.col("_b")).alias("_copied"))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = []
+    for df, copied in zip(sides, (F.col("_copied"), ~F.col("_copied")), strict=True):
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+        at = F.when(F.col("_cells").isNull(), F.array(F.lit(0).cast("long"))).when(copied, F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64(*hashed), F.col("_cells"))))
+        dealt.append(df.join(cut, on, "left").withColumn("_cell", F.explode(at)).drop("_cells", "_copied").repartition(n, *on, "_cell"))
+    return dealt[0].join(dealt[1].hint("merge"), [*on, "_cell"]).drop("_cell")
 
 
 def index_join(left: DataFrame, column: str, right: DataFrame, order: str, tie: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from locusloom.operators import model_output as mo
 from locusloom.operators import relational as rel
 from locusloom.operators import statistics as st
+from locusloom.operators import tables
 
 
 def test_ranks_put_nulls_last_and_break_ties_by_label(spark):
@@ -116,3 +117,17 @@ def test_maps_to_flat_tables(spark):
     got = sorted(map(tuple, tables.flat_scores(df, "scores", ["y", "x", "z"], ["region"]).collect()))
     assert got == [("r", "A1K", 2.0, 1.0, None), ("r", "A1R", None, None, None)]
     assert [tuple(r) for r in tables.representation_table(df, "vectors", ["region"]).collect()] == [("r", "A1K", [1.0, 2.0])]
+
+
+def test_suffix_join_cuts_heavy_keys(spark):
+    left = spark.range(300).selectExpr("id % 3 AS k", "id AS a", "map('x', id) AS m", "id AS v")
+    left = left.unionByName(left.where("a < 9")).unionByName(left.selectExpr("bigint(NULL) AS k", "a", "m", "v"))
+    right = spark.range(700).selectExpr("id % 7 AS k", "id AS b", "-id AS v").unionByName(spark.range(50).selectExpr("bigint(NULL) AS k", "id AS b", "id AS v"))
+    want = sorted((x.k, x.a, y.b, x.v, y.v) for x in left.where("k IS NOT NULL").collect() for y in right.collect() if x.k == y.k)
+    for cell in (1, 70, 1 << 22):
+        for sides, order in (((left, right), ("v_x", "v_y")), ((right, left), ("v_y", "v_x"))):
+            got = tables.suffix_join(*sides, ["k"], cell=cell).select("k", "a", "b", *order)
+            assert sorted(map(tuple, got.collect())) == want
+    one = tables.suffix_join(spark.range(40).selectExpr("id % 1 AS k", "id AS a"), spark.range(900).selectExpr("id % 1 AS k", "id AS b"), ["k"], cell=100)
+    sizes = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 36_000 and len(sizes) == 4 and max(sizes) < 12_000  # one key on all four partitions
