@@ -32,12 +32,18 @@ FREQUENT, RARE, WINDOW, WIDTH = 191, 64, 2, 16
 KNOWN = 1 << 18
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 BATCH, RATE, BLOCK = 256, 0.1, 2048
+DENSE = 2048
 
 
 def n_frequent(distinct: int) -> int:
     return max(FREQUENT, int(2 * distinct ** (1 / 3)) - RARE)
 
 
+def _padded(symbols: np.ndarray) -> np.ndarray:
+    outside = np.zeros(WINDOW, symbols.dtype)
+    return np.concatenate((outside, symbols, outside))
+
+
 def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
     return {"near": (len(_OFFSETS), symbols, WIDTH), "out": (WIDTH, symbols), "bias": (symbols,)}
 
@@ -70,7 +76,7 @@ class Network:
 
     def log_prob(self, symbols: np.ndarray) -> float:
         """The sum over all words of a text."""
-        padded = np.pad(symbols, WINDOW)
+        padded = _padded(symbols)
         weights, ones = np.append(self.out, self.bias[None], 0), np.ones(len(self.bias), np.float32)
         total = 0.0
         for s in range(0, len(symbols), BLOCK):
@@ -122,13 +128,17 @@ class Trainer:
 
     def add(self, symbols: np.ndarray) -> None:
         self.seen += len(symbols)
-        padded = np.pad(symbols, WINDOW)
+        padded = _padded(symbols)
         for s in range(0, len(symbols), BLOCK):
-            at = np.arange(s, min(len(symbols), s + BLOCK)) + WINDOW
-            self.waiting.append((np.stack([padded[at + o] for o in _OFFSETS], 1), padded[at]))
-            self.n += len(at)
-            if self.n >= BATCH:
+            end = min(len(symbols), s + BLOCK)
+            self.waiting.append((np.stack([padded[s + WINDOW + o : end + WINDOW + o] for o in _OFFSETS], 1), padded[s + WINDOW : end + WINDOW]))
+            self.n += end - s
+            if self.n >= BATCH:  # what doesn't fill a batch waits on
+                rest, (near, right) = self.n % BATCH, self.waiting[-1]
+                cut = len(right) - rest
+                self.waiting[-1] = near[:cut], right[:cut]
                 self.step()
+                self.waiting, self.n = [(near[cut:], right[cut:])], rest
 
     def _move(self, name: str, grad: np.ndarray) -> None:
         s = self.squares[name]
@@ -154,12 +164,14 @@ class Trainer:
             z[np.arange(len(y)), y] -= total
             scale = (1 / (len(y) * total))[:, None]  # z times scale is the gradient of the scores
             back = (z @ net.out.T) * (scale * (1 - h * h))
-            order = np.argsort(at.astype(np.int16) if len(_OFFSETS) * len(net.bias) < 1 << 15 else at, kind="stable")  # 16 bits sort by radix
-            sorted_at = at[order]
-            first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
-            held = sorted_at[first]  # only embeddings that the batch holds have a gradient
-            grad = np.add.reduceat(back[order % len(y)], first, 0)
             near_flat, squares = (v.reshape(-1, WIDTH) for v in (net.near, self.squares["near"]))
+            if len(near_flat) <= DENSE:  # sums of all embeddings cost less than finding those that the batch holds
+                held, place, n = slice(None), at, len(near_flat)
+            else:
+                held, place = np.unique(at, return_inverse=True)
+                n = len(held)
+            cells = (place[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+            grad = np.bincount(cells, np.tile(back, (len(_OFFSETS), 1)).ravel(), n * WIDTH).astype(np.float32).reshape(n, WIDTH)
             squares[held] += grad * grad
             near_flat[held] -= RATE * grad / np.sqrt(squares[held])
             grad = (wide * scale).T @ z

@@ -361,6 +361,26 @@ def test_masked_lm_trains_on_every_word(monkeypatch):
     assert sorted(seen) == sorted(want) and out.column(1).to_pylist() == [len(want)] * 3
 
 
+def test_masked_lm_fills_its_batches(monkeypatch):
+    sizes = []
+
+    class Trainer(masked_lm.Trainer):
+        def step(self):
+            sizes.append(sum(len(y) for _, y in self.waiting))
+            super().step()
+
+    nets = []
+    for dense in (1 << 20, 0):
+        monkeypatch.setattr(masked_lm, "DENSE", dense)
+        trainer = Trainer(masked_lm.started([], np.zeros(masked_lm.RARE), masked_lm.FREQUENT, [np.empty(0, np.uint64), np.empty(0)]))
+        for n in (300, 0, 100, 200, 5000, 7):
+            trainer.add(np.arange(n, dtype=np.int32) * 7 % 256)
+        trainer.step()
+        nets.append(trainer.net)
+    assert sum(sizes) == 2 * 5607 and all(n % masked_lm.BATCH == 0 for n in sizes[:-1] if n != 5607 % masked_lm.BATCH)
+    assert all(np.allclose(getattr(nets[0], k), getattr(nets[1], k), atol=1e-5) for k in masked_lm.shapes(0))
+
+
 # --- nearest neighbours
 
 
