@@ -478,6 +478,52 @@ def test_sample_of_neighbours(spark, monkeypatch):
     assert ann._sampled(copies, 3000).tolist() == [[1.0, 2.0]] * 1000
 
 
+def test_lists_of_neighbours_are_measured_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "CELL", 16, raising=False)  # lists of several cells
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((300, 16)), 20, 0) + 0.01 * rng.standard_normal((6000, 16))  # few of the sample's vectors have a near one there
+    seen, measure = [], ann.probes
+    monkeypatch.setattr(ann, "probes", lambda *a: seen.append(measure(*a)) or seen[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = ann.search(df, F.col("vec_id") % 100 == 0).collect()
+    x, hit = x.astype(np.float32).astype(np.float64), 0
+    for g in got:
+        d = np.sqrt(((x - x[g.query_id]) ** 2).sum(1))
+        assert g.score == pytest.approx(d[g.vec_id], abs=1e-12)
+        hit += g.score <= np.partition(d, 10)[10] + 1e-12
+    assert len(got) == 600 and hit >= 0.95 * 600 and seen[0] <= 3
+
+
+def test_copies_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 512, raising=False)
+    rows = [((i * 7919) % 6000, [float(i % 6), 1.0, -(i % 6) / 3]) for i in range(6000)] + [(100, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    deal = ann._scanned
+
+    def scanned(k):
+        run = deal(k)
+
+        def counted(queries, of):
+            if of.num_rows > 6 * (k + 2):  # of each vector only the k + 2 smallest ids can be in a result
+                raise MemoryError(of.num_rows)
+            return run(queries, of)
+
+        return counted
+
+    monkeypatch.setattr(ann, "_scanned", scanned)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    by = {}
+    for i, v in sorted(rows):
+        by.setdefault(tuple(v), []).append(i)
+    assert sorted(got) == list(range(0, 6000, 100))
+    for q in set(got) - {100}:
+        alike = next(ids for ids in by.values() if q in ids)
+        assert got[q] == [(i, 0.0) for i in alike if i != q][:10]
+
+
 # --- toxicity
 
 
